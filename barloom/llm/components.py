@@ -9,32 +9,24 @@ from .support import cut
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) of every node in `links` (a, b: long); component is the smallest node that can be reached.
+    """(node, component) of the nodes in `links` (a, b: long) that are not the smallest of their component; component is
+    the smallest node that can be reached.
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its smallest one, then its
     smaller neighbours. Rows never exceed the links, and the number of rounds grows with the logarithm of a group's
-    size. Each round is cut off by a checkpoint. Loops (a = b) count as nodes without links; nulls are dropped.
+    size. Each round is cut off by a checkpoint. Loops (a = b) and nulls are dropped.
     """
     links = links.select("a", "b").where("a is not null and b is not null")
-    nodes = links.select(F.explode(F.array("a", "b")).alias("node"))
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = cut(large.where("a <> b").distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        now = cut(
-            small.select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(small.select("a", F.col("m").alias("b")))
-            .where("a <> b")
-            .distinct()
-        )
+        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        now = cut(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == last:
-            break
-    return nodes.distinct().join(now.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select(
-        "node", F.coalesce("m", "node").alias("component")
-    )
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

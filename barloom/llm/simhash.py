@@ -53,23 +53,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), of(F.col(text_col)).alias("fp"))
 
 
-def _cells(fp: str, width: int) -> str:
-    """SQL of the cells that `fp` visits: its own, those one higher in a segment, those one lower, else null.
+def _visiting(fps: DataFrame, width: int) -> DataFrame:
+    """(fp, k, cell) of the distinct fingerprints: k = 0 is a fingerprint's own cell, k in 1..n the cell with one bit more
+    in segment k - 1, k in n + 1..2n the one with a bit less in segment k - n - 1, for n segments.
 
     A cell is the vector of bit counts, packed into a long, or mixed into one by a hash where a long is too short: equal
     cells stay equal, and the exact comparison that follows bears chance meetings.
     """
-    n = BITS // width
-    count = [f"bit_count(shiftrightunsigned({fp}, {i * width}) & {(1 << width) - 1})" for i in range(n)]
-    bits = width.bit_length()
+    n, bits = BITS // width, width.bit_length()
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    one = fps.select("fp").repartition(parts, "fp").dropDuplicates(["fp"])
+    counts = F.expr(f"transform(sequence(0, {n - 1}), i -> bit_count(shiftrightunsigned(fp, i * {width}) & {(1 << width) - 1}))")
     if n * bits <= BITS:
-        home = " | ".join(f"shiftleft(cast({c} as long), {i * bits})" for i, c in enumerate(count))
-        moved = [f"({home}) {sign} shiftleft(1L, {i * bits})" for sign in "+-" for i in range(n)]
+        home = f"aggregate(sequence(0, {n - 1}), 0L, (c, i) -> c | shiftleft(cast(counts[i] as long), i * {bits}))"
+        step = f"home + if(k <= {n}, 1L, -1L) * shiftleft(1L, (k - 1) % {n} * {bits})"
     else:
-        home = f"xxhash64({', '.join(count)})"
-        moved = [f"xxhash64({', '.join(f'{c} {sign} 1' if j == i else c for j, c in enumerate(count))})" for sign in "+-" for i in range(n)]
-    room = [f"{c} < {width}" for c in count] + [f"{c} > 0" for c in count]
-    return f"array({home}, {', '.join(f'if({r}, {m}, null)' for r, m in zip(room, moved))})"
+        home = "xxhash64(counts)"
+        step = f"xxhash64(transform(counts, (c, i) -> if(i = (k - 1) % {n}, c + if(k <= {n}, 1, -1), c)))"
+    full = f"counts[(k - 1) % {n}] = if(k <= {n}, {width}, 0)"
+    cells = F.expr(f"transform(sequence(0, {2 * n}), k -> if(k = 0, home, if({full}, null, {step})))")
+    at = one.select("fp", counts.alias("counts")).select("fp", "counts", F.expr(home).alias("home"))
+    return at.select("fp", F.posexplode(cells).alias("k", "cell")).where("cell is not null")
 
 
 def links(fps: DataFrame, width: int = 4) -> DataFrame:
@@ -79,8 +83,7 @@ def links(fps: DataFrame, width: int = 4) -> DataFrame:
     width: bits of a segment. Every link joins fingerprints that are at most 2 bits apart.
     """
     n = BITS // width
-    one = fps.select("fp").distinct()
-    visiting = one.select("fp", F.posexplode(F.expr(_cells("fp", width))).alias("k", "cell")).where("cell is not null")
+    visiting = _visiting(fps, width)
     shared = visiting.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
     met = visiting.join(shared, "cell", "left_semi")
     #: In the cell that segment (k - 1) % n leads to, lie the words with one bit of that segment set or cleared.
