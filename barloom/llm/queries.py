@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, decontam, linededup, shards, simhash
+from . import bpe_count, decontam, fingerprint, linededup, shards, simhash, tokenfile
 from .support import table
 
 #: Words as the operator has them, windows by position, and the words that occurrences of windows cover.
@@ -58,6 +58,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1024)
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"), 10).drop("kept")
 
@@ -70,6 +74,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), 24, "bytes")
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_file(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2).drop("ids")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
