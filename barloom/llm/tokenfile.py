@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from .support import cut, file_bytes
 
 BLOCK, PERCENTILE, CHUNK = 4096, 95.0, 1 << 18
 #: Encodings that a task keeps, of runs of at most CACHED_LENGTH bytes between white space.
-CACHED, CACHED_LENGTH = 600_000, 64
+CACHED, CACHED_LENGTH = 800_000, 64
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -81,8 +82,9 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
 class Encoder:
     """Ids of whole texts by a tokenizers .json whose words never span white space.
 
-    Runs between ASCII white space are encoded by the library once and remembered: their ids do not depend on their
-    neighbours, since the vocabulary's normaliser and word pattern treat all white space alike and drop it.
+    Runs between ASCII white space are encoded once and remembered: their ids do not depend on their neighbours, since
+    the vocabulary's normaliser and word pattern treat all white space alike and drop it. A letter or digit followed by
+    full stops or commas is a boundary too, so a run is looked up without those.
     """
 
     def __init__(self, data: bytes):
@@ -90,24 +92,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data.decode())
-        self.known: dict[bytes, np.ndarray] = {}
+        self.runs: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def _cut(run: bytes) -> tuple[bytes, bytes]:
+        """The run without the full stops and commas at its end, A-Z lower-cased as the vocabulary does; and those."""
+        if b"<|" in run:  # may be a special string, whose case counts
+            return run, b""
+        head = run.rstrip(b".,")
+        if not head or not head[-1:].isalnum():
+            last = unicodedata.normalize("NFC", head.decode()[-1]).lower() if head and head[-1] > 127 else ""
+            if len(last) != 1 or not last.isalpha():  # a sign, or a letter that becomes a letter and a mark
+                return run.lower(), b""
+        return head.lower(), run[len(head) :]
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 4096):
+            part = words[i : i + 4096]
+            for w, e in zip(part, self.library.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
+                self.words[w] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str | None], end: int | None) -> list[np.ndarray]:
-        known = self.known
+        """Arrays of ids of the texts (null: empty), each with `end` behind it if that is given."""
+        for cache in (self.runs, self.words):
+            if len(cache) > CACHED:
+                cache.clear()
+        known = self.runs
         runs = [t.encode().split() if t else [] for t in texts]
-        fresh = list({r for rs in runs for r in rs if r not in known})
-        if len(known) + len(fresh) > CACHED:
-            known.clear()
-            fresh = list({r for rs in runs for r in rs})
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for r, e in zip(part, self.library.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                known[r] = np.array(e.ids, "<u4").tobytes()
-        tail = b"" if end is None else struct.pack("<I", end)
-        out = [np.frombuffer(b"".join([*map(known.__getitem__, rs), tail]), "<u4") for rs in runs]
-        for r in fresh:
-            if len(r) > CACHED_LENGTH:
-                del known[r]
+        fresh = list({r for rs in runs for r in rs}.difference(known))
+        cuts = [*map(self._cut, fresh)]
+        self._encode_words(list({w for c in cuts for w in c if w}.difference(self.words)))
+        words = self.words
+        for run, (head, tail) in zip(fresh, cuts):
+            known[run] = words[head] + words[tail] if tail else words[head]
+        stop = b"" if end is None else struct.pack("<I", end)
+        out = [np.frombuffer(b"".join([*map(known.__getitem__, rs), stop]), "<u4") for rs in runs]
+        for run, (head, _) in zip(fresh, cuts):
+            if len(run) > CACHED_LENGTH:
+                del known[run]
+                words.pop(head, None)
         return out
 
 
