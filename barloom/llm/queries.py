@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, decontam, fingerprint, linededup, shards, simhash, tokenfile, toxicity
+from . import bpe_count, decontam, fingerprint, linededup, quality, shards, simhash, tokenfile, toxicity
 from .support import table
 
 #: Words as the operator has them, windows by position, and the words that occurrences of windows cover.
@@ -83,6 +83,11 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_file(table(spark, sf_dir, "documents"), "word_bpe_49k.json", 2).drop("ids")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
