@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, decontam, fingerprint, linededup, quality, shards, simhash, tokenfile, toxicity
+from . import bpe_count, decontam, fingerprint, linededup, pieces, quality, shards, simhash, tokenfile, toxicity
 from .support import table
 
 #: Words as the operator has them, windows by position, and the words that occurrences of windows cover.
@@ -54,6 +54,10 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encodings(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", 4)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", 1024)
 

@@ -18,14 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the cluster's shared checkpoint folder, so that lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
 
-    The folder is `spark.checkpoint.dir` of the session. Only where it is unset, as in tests, a temporary one is used.
+    Only where it is unset, as in tests, a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` computed once and kept in the shared folder, so that lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import cut, file_bytes
+from .support import file_bytes, shared_folder
 
 BLOCK, PERCENTILE, CHUNK = 4096, 95.0, 1 << 18
 #: Encodings that a task keeps, of runs of at most CACHED_LENGTH bytes between white space.
@@ -226,10 +226,6 @@ def token_file(docs: DataFrame, vocabulary: str, end: int | None, path: str | No
     """
     spark = docs.sparkSession
     if path is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            cut(spark.range(1))
-            base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-        path = f"{base}/tokens-{uuid.uuid4().hex}"
+        path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, vocabulary, end, id_col, text_col)
     return read_tokens(spark, path)
