@@ -2,7 +2,8 @@
 
 The pieces of a text form a lattice over its characters. A forward Viterbi pass gives the best score up to each position;
 these are exact heuristics for a backward A-star search from the end, which therefore yields the segmentations in order
-of score. Scores are the model's own. Characters without a piece are byte pieces, at the score of an unknown one.
+of score. Scores are the model's own. Characters without a piece are
+byte pieces, 10 below the lowest score of a single character.
 
 Where no piece has two neighbouring characters in a row, every path passes between them, so the lattice falls into spans
 there, mostly words. Spans recur, and their best segmentation and the loss to the second best are remembered. The N best
@@ -60,7 +61,8 @@ class PieceModel:
                 node = level.setdefault(c, [{}, None, b""])
                 level = node[0]
             node[1:] = score, np.uint32(i).tobytes()
-        self.unknown = min((s for s, _ in normal.values()), default=0.0) - 10.0
+        single = [s for p, (s, _) in normal.items() if len(p) == 1]
+        self.unknown = min(single or [s for s, _ in normal.values()] or [0.0]) - 10.0
         self.byte_ids = byte_ids
         self.pairs = {piece[k : k + 2] for piece in normal for k in range(len(piece) - 1)}
         self.cut_at_space = not any(p[0] != SPACE and p[1] == SPACE for p in self.pairs)
