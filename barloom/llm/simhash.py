@@ -62,7 +62,7 @@ def _visiting(fps: DataFrame, width: int) -> DataFrame:
     """
     n, bits = BITS // width, width.bit_length()
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    one = fps.select("fp").repartition(parts, "fp").dropDuplicates(["fp"])
+    one = fps.select("fp").distinct().repartition(parts, "fp")  # equal ones meet before the shuffle
     counts = F.expr(f"transform(sequence(0, {n - 1}), i -> bit_count(shiftrightunsigned(fp, i * {width}) & {(1 << width) - 1}))")
     if n * bits <= BITS:
         home = f"aggregate(sequence(0, {n - 1}), 0L, (c, i) -> c | shiftleft(cast(counts[i] as long), i * {bits}))"
