@@ -9,6 +9,8 @@ from ..functions.rolling import BY_ASSET
 
 BY_DAY = Window.partitionBy("t")
 HARD, WEAK = -5.0, -2.0
+#: A correlation of zero may come out as this much.
+NOISE = 1e-12
 
 
 def top_k(count: Column, share: float = 0.2, least: int = 2, most: int = 4) -> Column:
@@ -106,7 +108,7 @@ def summary(daily: DataFrame) -> DataFrame:
         F.when(enough, mean).alias("rank_ic_mean"),
         F.when(enough, std).alias("rank_ic_std"),
         F.when(enough & (std > 0), F.try_divide(mean, std)).alias("rank_ic_ir"),
-        F.when(enough, F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double")))).alias("rank_ic_positive_rate"),
+        F.when(enough, F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > NOISE).cast("double")))).alias("rank_ic_positive_rate"),
     )
 
 

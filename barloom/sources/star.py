@@ -58,8 +58,14 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 
 def panel(bars: DataFrame) -> DataFrame:
-    """The dense grid of universe and calendar with the bars on it; cells without a trade have NULL prices."""
-    grid = universe(bars).crossJoin(calendar(bars))
+    """The dense grid of universe and calendar with the bars on it; cells without a trade have NULL prices.
+
+    Every asset unfolds into the positions of the calendar, whose length is one number, and days come by an equi join.
+    """
+    days = calendar(bars)
+    last = days.count() - 1
+    grid = universe(bars).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(last))) if last >= 0 else F.lit(0))
+    grid = grid.withColumn("t", F.col("t").cast("long")).join(days, "t")
     placed = grid.join(bars, ["symbol", "day"], "left").withColumn("tradable", tradable())
     masked = [F.when(F.col("tradable"), F.col(c)).alias(c) for c in FIELDS]
     return placed.select("asset_idx", "symbol", "t", "day", *masked, "tradable")
@@ -67,3 +73,7 @@ def panel(bars: DataFrame) -> DataFrame:
 
 def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel(bars_brand_week(spark, sf_dir))
+
+
+def nation_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel(bars_nation_day(spark, sf_dir))
