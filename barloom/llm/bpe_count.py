@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import heapq
 import json
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import file_bytes, mapped
+from .support import built, file_bytes, mapped
 
 #: Fixed value: how the vocabulary's byte-level step splits a text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -110,11 +109,6 @@ class MergeCounter:
         return len(pieces) - 1 + sum(self.plain(p) for p in pieces if p)
 
 
-@lru_cache(maxsize=2)
-def _counter(data: bytes) -> MergeCounter:
-    return MergeCounter(data)
-
-
 def token_counts(
     docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -127,7 +121,7 @@ def token_counts(
     data = docs.sparkSession.sparkContext.broadcast(file_bytes(vocabulary))
 
     def counts(texts: list) -> list:
-        counter = _counter(data.value)
+        counter = built(MergeCounter, data.value)
         return [counter.count(t) for t in texts]
 
     n = mapped(counts, pa.int64(), "long")(F.col(text_col))

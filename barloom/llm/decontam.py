@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut, mapped
+from .support import built, cut, mapped
 
 #: Letters, digits and everything beyond ASCII, as UTF-8 after A-Z are lower-cased.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -77,17 +77,6 @@ class WindowSet:
         return spans, items
 
 
-#: The window set that this worker has built last, with its broadcast.
-_built: list = [None, None]
-
-
-def _window_set(held) -> WindowSet:
-    block = held.value
-    if _built[0] is not block:
-        _built[:] = block, WindowSet(block)
-    return _built[1]
-
-
 def _window_table(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """(window, items: list of distinct ids as strings) of the benchmark."""
     of = mapped(lambda texts: [sorted(windows_of(t, n)) for t in texts], pa.list_(pa.binary()), "array<binary>")
@@ -114,7 +103,7 @@ def _scanner(held):
     """From texts to (n_words, a bit for each word that is hit, items)."""
 
     def scan(texts: list) -> list:
-        windows, out = _window_set(held), []
+        windows, out = built(WindowSet, held.value), []
         for text in texts:
             words = words_of(text)
             spans, items = windows.scan(words) if words else ((), ())

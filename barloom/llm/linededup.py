@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut, mapped
+from .support import built, cut, mapped
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Keys of a shard at most, on average.
@@ -180,16 +180,6 @@ class FrequentLines:
         return {d for d, m in zip(digests, maybe.tolist()) if m and d in self.keys}
 
 
-#: The lookup that this worker has built last, with its broadcast.
-_built: list = [None, None]
-
-
-def _frequent(rows: list) -> FrequentLines:
-    if _built[0] is not rows:
-        _built[:] = rows, FrequentLines(rows)
-    return _built[1]
-
-
 DROPPED = pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
 DROPPED_DDL = "struct<n_lines: long, n_dropped: long, kept: string>"
 
@@ -212,7 +202,7 @@ def with_kept_lines(docs: DataFrame, counts: DataFrame, least: int, id_col: str
         held = docs.sparkSession.sparkContext.broadcast([(bytes(r["tags"]), bytes(r["keys"])) for r in filters.collect()])
 
         def drop(texts: list) -> list:
-            known = _frequent(held.value)
+            known = built(FrequentLines, held.value)
             all_lines = [lines_of(t) for t in texts]
             digests = [[*map(digest_of, lines)] for lines in all_lines]
             gone = known.found([*{d for ds in digests for d in ds} - {b""}])

@@ -15,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
-from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -23,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import file_bytes, mapped
+from .support import built, file_bytes, mapped
 
 SPACE = "▁"
 #: Spans that a task keeps, of at most CACHED_LENGTH characters each.
-CACHED, CACHED_LENGTH = 1_000_000, 32
+CACHED, CACHED_LENGTH = 300_000, 32
 
 
 class PieceModel:
@@ -213,11 +212,6 @@ class PieceModel:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
-@lru_cache(maxsize=2)
-def _model(data: bytes) -> PieceModel:
-    return PieceModel(data)
-
-
 ENCODED = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
 
@@ -230,7 +224,7 @@ def encoded(docs: DataFrame, model: str, n: int = 1, text_col: str = "text") ->
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
 
     def run(texts: list) -> list:
-        m = _model(held.value)
+        m = built(PieceModel, held.value)
         return [[{"score": s, "ids": np.frombuffer(ids, "<i4")} for s, ids in m.encode(t, n)] for t in texts]
 
     return mapped(run, ENCODED, "array<struct<score: double, ids: array<int>>>")(F.col(text_col))
@@ -241,7 +235,7 @@ def decoded(docs: DataFrame, model: str, ids_col: str = "ids") -> Column:
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
 
     def run(rows: list) -> list:
-        m = _model(held.value)
+        m = built(PieceModel, held.value)
         return [None if ids is None else m.decode(np.array(ids, "<u4").tobytes()) for ids in rows]
 
     return mapped(run, pa.string(), "string")(F.col(ids_col))
@@ -262,7 +256,7 @@ def encodings(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", t
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
 
     def run(texts: list) -> list:
-        m, out = _model(held.value), []
+        m, out = built(PieceModel, held.value), []
         for text in texts:
             ways = m.encode(text, n)
             score, ids = ways[0]

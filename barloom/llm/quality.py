@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import mapped
+from .support import built, mapped
 
 BUCKETS = 1 << 16
 #: Labelled rows that a model is fitted on at most: those of the lowest hash of the id.
 SAMPLE = 6_000
 #: Runs whose buckets or weights a task keeps.
-CACHED = 600_000
+CACHED = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 
@@ -133,8 +133,23 @@ def train(docs: DataFrame, ratings: DataFrame, grade_col: str = "quality", sampl
     return fit([r["text"] for r in rows], [r["grade"] for r in rows])
 
 
-#: The weights by run that this worker holds, with their model.
-_built: list = [None, {}]
+class Rater:
+    """The value of weights . features of texts, with the weights of runs remembered."""
+
+    def __init__(self, model: CumulativeLink):
+        self.model, self.known = model, {}
+
+    def __call__(self, text: str | None) -> float:
+        runs, known, weights = (text or "").split(), self.known, self.model.weights
+        try:
+            total = sum(map(known.__getitem__, runs))
+        except KeyError:
+            if len(known) > CACHED:
+                known.clear()
+            for r in {*runs}.difference(known):
+                known[r] = float(weights[token_buckets(r)].sum())
+            total = sum(map(known.__getitem__, runs))
+        return (total + repeats(runs) * float(weights[REPEAT])) / max(1, len(runs))
 
 
 def rated(docs: DataFrame, model: CumulativeLink, at_least: int = 1, text_col: str = "text") -> Column:
@@ -143,21 +158,7 @@ def rated(docs: DataFrame, model: CumulativeLink, at_least: int = 1, text_col: s
 
     def run(texts: list) -> list:
         m = held.value
-        if _built[0] is not m:
-            _built[:] = m, {}
-        known, w, lines = _built[1], m.weights, []
-        for text in texts:
-            runs = (text or "").split()
-            try:
-                total = sum(map(known.__getitem__, runs))
-            except KeyError:
-                if len(known) > CACHED:
-                    known.clear()
-                for r in {*runs}.difference(known):
-                    known[r] = float(w[token_buckets(r)].sum())
-                total = sum(map(known.__getitem__, runs))
-            lines.append((total + repeats(runs) * float(w[REPEAT])) / max(1, len(runs)))
-        p = m.probabilities(np.array(lines))
+        p = m.probabilities(np.array([*map(built(Rater, m), texts)]))
         grades = np.array(m.grades)
         return [{"expected_grade": e, "tail_probability": t} for e, t in zip((p @ grades).tolist(), p[:, grades >= at_least].sum(axis=1).tolist())]
 

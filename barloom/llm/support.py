@@ -52,6 +52,22 @@ def mapped(f: Callable[[list], list], kind: pa.DataType, ddl: str) -> Callable[[
     return F.arrow_udf(run, ddl)
 
 
+#: What this worker has built last, by what and from what.
+_built: list = [None, None, None]
+
+
+def built(make: Callable, source):
+    """`make(source)`, kept in this worker until something else is built.
+
+    Only one is kept, so the caches of stages that share workers don't add up.
+    """
+    same = _built[0] is make and (_built[1] is source or (isinstance(source, bytes) and _built[1] == source))
+    if not same:
+        _built[:] = None, None, None
+        _built[:] = make, source, make(source)
+    return _built[2]
+
+
 def pieces(batch: pa.Array, size: int = 4 << 20) -> Iterator[list]:
     """`batch` as lists of values, each of about `size` bytes or of one value."""
     start, n = 0, len(batch)

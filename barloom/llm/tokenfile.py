@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import file_bytes, shared_folder
+from .support import built, file_bytes, shared_folder
 
 BLOCK, PERCENTILE, CHUNK = 4096, 95.0, 1 << 18
 #: Encodings that a task keeps, of runs of at most CACHED_LENGTH bytes between white space.
@@ -135,15 +135,6 @@ class Encoder:
         return out
 
 
-_built: list = [None, None]
-
-
-def _encoder(data: bytes) -> Encoder:
-    if _built[0] is not data and _built[0] != data:
-        _built[:] = data, Encoder(data)
-    return _built[1]
-
-
 CHUNKS = "part int, chunk int, ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -157,7 +148,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int | None, i
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, ids, lengths, held, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-        encoder = _encoder(data.value)
+        encoder = built(Encoder, data.value)
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict(

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import mapped
+from .support import built, mapped
 
 #: Words longer than this are seen through overlapping windows of this many symbols, a half apart.
 LONGEST = 24
@@ -155,7 +155,7 @@ class Kernel:
 
 
 #: Runs whose values a task keeps.
-CACHED = 1_000_000
+CACHED = 500_000
 
 
 class Embedding:
@@ -301,7 +301,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
     return fit([r["text"] for r in rows], [int(r["label"] > 0) for r in rows], landmarks)
 
 
-_built: list = [None, None]
+def _embedding(model: Model) -> Embedding:
+    return Embedding(model.landmarks)
 
 
 def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,12 +314,10 @@ def scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list) -> list:
-        m = held.value
-        if _built[0] is not m:
-            _built[:] = m, Embedding(m.landmarks)
-        out: list[float] = []
+        m, out = held.value, []
+        embed = built(_embedding, m)
         for i in range(0, len(texts), 200):
-            out += m.score(_built[1](texts[i : i + 200])).tolist()
+            out += m.score(embed(texts[i : i + 200])).tolist()
         return out
 
     found = docs.select(F.col(id_col).alias("doc_id"), mapped(run, pa.float64(), "double")(F.col(text_col)).alias("score"))
