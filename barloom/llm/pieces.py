@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .support import built, file_bytes, mapped
 
 SPACE = "▁"
-#: Spans that a task keeps, of at most CACHED_LENGTH characters each.
-CACHED, CACHED_LENGTH = 300_000, 32
+#: Spans of one generation that a worker keeps, of at most CACHED_LENGTH characters each, and those whose N best it keeps.
+CACHED, CACHED_LENGTH, SEVERAL = 150_000, 32, 20_000
 
 
 class PieceModel:
@@ -66,15 +66,17 @@ class PieceModel:
         self.pairs = {piece[k : k + 2] for piece in normal for k in range(len(piece) - 1)}
         self.cut_at_space = not any(p[0] != SPACE and p[1] == SPACE for p in self.pairs)
         self.text = {i: p.replace(SPACE, " ").encode() for p, (_, i) in normal.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
+        #: Spans seen lately and, once those are CACHED, the ones before them; what is met again moves up.
         self.spans: dict[str, tuple[float, float, bytes]] = {}
+        self.older: dict[str, tuple[float, float, bytes]] = {}
+        self.several: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
-    def edges(self, span: str) -> tuple[list[tuple[int, int, float, bytes]], list[float], list[tuple[int, bytes] | None]]:
-        """The pieces of a span as (start, end, score, ids) in order of start; and, for each position, the best score up
-        to it (forward Viterbi) and the piece that ends it."""
-        n, tree = len(span), self.tree
-        out, best, last = [], [0.0] + [-np.inf] * n, [None] * (n + 1)
+    def edges(self, span: str) -> tuple[list[tuple[int, int, float, bytes]], list[float]]:
+        """The pieces of a span as (start, end, score, ids) in order of start, and the best score up to each position
+        (forward Viterbi)."""
+        n, out, best = len(span), [], [0.0] + [-np.inf] * len(span)
         for i in range(n):
-            level, here, single = tree, best[i], False
+            level, single = self.tree, False
             for j in range(i, n):
                 node = level.get(span[j])
                 if node is None:
@@ -82,17 +84,13 @@ class PieceModel:
                 level, score, ids = node
                 if score is not None:
                     out.append((i, j + 1, score, ids))
-                    if here + score > best[j + 1]:
-                        best[j + 1] = here + score
-                        last[j + 1] = i, ids
+                    best[j + 1] = max(best[j + 1], best[i] + score)
                     single = single or j == i
             if not single:
                 ids = np.array([self.byte_ids[b] for b in span[i].encode("utf-8", "surrogatepass")], np.uint32).tobytes()
                 out.append((i, i + 1, self.unknown, ids))
-                if here + self.unknown > best[i + 1]:
-                    best[i + 1] = here + self.unknown
-                    last[i + 1] = i, ids
-        return out, best, last
+                best[i + 1] = max(best[i + 1], best[i] + self.unknown)
+        return out, best
 
     def nbest(self, span: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of a span, or all if there are fewer: (score, ids), best first.
@@ -100,7 +98,7 @@ class PieceModel:
         Backward A-star. Equal scores come in the order in which the search meets them, which is always the same; the
         one nearest to completion goes first.
         """
-        edges, best, _ = self.edges(span)
+        edges, best = self.edges(span)
         ending: list[list[tuple[int, float, bytes]]] = [[] for _ in best]
         for i, j, s, ids in edges:
             ending[j].append((i, s, ids))
@@ -119,34 +117,64 @@ class PieceModel:
                 heapq.heappush(heap, (-(best[i] + s + score), i, count, s + score, (ids, path)))
         return out
 
+    def viterbi(self, span: str) -> tuple[float, float, bytes]:
+        """(score, loss to the second best, ids) of the best segmentation: forward, with the two best scores up to each
+        position."""
+        n, tree, none = len(span), self.tree, -np.inf
+        best, second, last = [0.0] + [none] * n, [none] * (n + 1), [None] * (n + 1)
+        for i in range(n):
+            level, here, single = tree, best[i], None
+            for j in range(i, n):
+                node = level.get(span[j])
+                if node is None:
+                    break
+                level, score, ids = node
+                if score is not None:
+                    if j == i:
+                        single = score
+                    through, j = here + score, j + 1
+                    if through > best[j]:
+                        other = second[i] + score
+                        second[j] = best[j] if best[j] > other else other
+                        best[j] = through
+                        last[j] = i, ids
+                    elif through > second[j]:
+                        second[j] = through
+            if single is None:
+                ids, j, through = np.array([self.byte_ids[b] for b in span[i].encode("utf-8", "surrogatepass")], np.uint32).tobytes(), i + 1, here + self.unknown
+                if through > best[j]:
+                    second[j] = max(best[j], second[i] + self.unknown)
+                    best[j] = through
+                    last[j] = i, ids
+                elif through > second[j]:
+                    second[j] = through
+        ids, at = [], n
+        while at:
+            at, part = last[at]
+            ids.append(part)
+        ids.reverse()
+        return best[n], best[n] - second[n], b"".join(ids)
+
     def span(self, span: str) -> tuple[float, float, bytes]:
         """(score, loss to the second best, ids) of the best segmentation of a span that may hold further cuts."""
         found = self.spans.get(span)
         if found is not None:
             return found
-        # Mostly a single sign ends a word; then the word itself may be known.
-        parts = (span[:-1], span[-1]) if span[-1] in ".," and len(span) > 1 and span[-2:] not in self.pairs else self.cut(span)
-        if len(parts) > 1:
-            each = [self.span(p) for p in parts]
-            found = sum(e[0] for e in each), min(e[1] for e in each), b"".join(e[2] for e in each)
-        else:
-            edges, best, last = self.edges(span)
-            ids, at, before = [], len(span), {}
-            while at:
-                before[at] = last[at][0]
-                ids.append(last[at][1])
-                at = last[at][0]
-            back, loss, total = [-np.inf] * len(span) + [0.0], np.inf, best[-1]
-            for i, j, s, _ in reversed(edges):
-                through = s + back[j]
-                if through > back[i]:
-                    back[i] = through
-                if total - best[i] - through < loss and before.get(j) != i:
-                    loss = total - best[i] - through
-            found = total, loss, b"".join(reversed(ids))
+        found = self.older.get(span)
+        if found is None:
+            # Mostly a single sign ends a word; then the word itself may be known.
+            if span[-1] in ".," and len(span) > 1 and span[-2:] not in self.pairs:
+                (s, loss, ids), (t, other, more) = self.span(span[:-1]), self.span(span[-1])
+                return s + t, loss if loss < other else other, ids + more
+            parts = self.cut(span)
+            if len(parts) > 1:
+                each = [self.span(p) for p in parts]
+                found = sum(e[0] for e in each), min(e[1] for e in each), b"".join(e[2] for e in each)
+            else:
+                found = self.viterbi(span)
         if len(span) <= CACHED_LENGTH:
             if len(self.spans) >= CACHED:
-                self.spans.clear()
+                self.spans, self.older = {}, self.spans
             self.spans[span] = found
         return found
 
@@ -200,10 +228,17 @@ class PieceModel:
 
     def _ways(self, span: str, n: int) -> list[tuple[float, bytes]]:
         """The n best of a span, combined from its parts."""
+        found = self.several.get((span, n))
+        if found is not None:
+            return found
         ways = [(0.0, b"")]
         for part in self.cut(span):
             more = [(s + t, a + b) for s, a in ways for t, b in self.nbest(part, n)]
             ways = heapq.nsmallest(n, more, key=lambda x: -x[0])
+        if len(span) <= CACHED_LENGTH:
+            if len(self.several) >= SEVERAL:
+                self.several.clear()
+            self.several[span, n] = ways
         return ways
 
     def decode(self, ids: bytes) -> str:
@@ -230,6 +265,22 @@ def encoded(docs: DataFrame, model: str, n: int = 1, text_col: str = "text") ->
     return mapped(run, ENCODED, "array<struct<score: double, ids: array<int>>>")(F.col(text_col))
 
 
+def best(docs: DataFrame, model: str, text_col: str = "text") -> Column:
+    """A struct column of whole texts: ids and score of the best segmentation, and whether it decodes to the text (null: the
+    empty text). Both ways are one pass, so that a task needs one worker and one model."""
+    held = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
+
+    def run(texts: list) -> list:
+        m, out = built(PieceModel, held.value), []
+        for text in texts:
+            score, ids = m.encode(text)[0]
+            out.append({"ids": np.frombuffer(ids, "<i4"), "score": score, "round_trip": m.decode(ids) == (text or "")})
+        return out
+
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("round_trip", pa.bool_())])
+    return mapped(run, kind, "struct<ids: array<int>, score: double, round_trip: boolean>")(F.col(text_col))
+
+
 def decoded(docs: DataFrame, model: str, ids_col: str = "ids") -> Column:
     """The texts of a column of ids; null for null."""
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(model))

@@ -40,13 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
 def mapped(f: Callable[[list], list], kind: pa.DataType, ddl: str) -> Callable[[Column], Column]:
     """A column function from `f`, which takes a list of values (None for null) and returns a list of `kind`.
 
-    Values go through `f` in pieces of about 4 MB, so that a batch of long texts needs no more memory than a batch of
-    short ones.
+    Values go through `f` and on in pieces of about 4 MB, so that a batch of long texts needs no more memory than a batch
+    of short ones.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([x for piece in pieces(batch) for x in f(piece)], kind)
+            for piece in pieces(batch):
+                yield pa.array(f(piece), kind)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, ddl)
