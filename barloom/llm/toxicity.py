@@ -145,7 +145,7 @@ class Kernel:
                     if v.any():
                         who.append(i)
                         values.append(v)
-        return np.array(who, np.int64), np.array(values, np.float32).reshape(-1, len(self.landmarks))
+        return np.array(who, np.int64), np.array(values, np.float32).reshape(len(values), len(self.landmarks))
 
     def full(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
