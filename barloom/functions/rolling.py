@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-#: One asset in time order. Every frame below shares this partitioning and order, so one shuffle and sort serve all.
-BY_ASSET = Window.partitionBy("asset_idx").orderBy("t")
+
+def by_asset():
+    """One asset in time order. Every frame below shares this partitioning and order, so one shuffle and sort serve all."""
+    return Window.partitionBy("asset_idx").orderBy("t")
 
 
 def window(n: int):
-    return BY_ASSET.rowsBetween(1 - n, 0)
+    return by_asset().rowsBetween(1 - n, 0)
 
 
 def finite(x: Column) -> Column:
@@ -20,7 +22,7 @@ def finite(x: Column) -> Column:
 
 
 def lag(x: Column, n: int) -> Column:
-    return F.lag(x, n).over(BY_ASSET)
+    return F.lag(x, n).over(by_asset())
 
 
 def full(x: Column, n: int, aggregate: Callable[[Column], Column]) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rolling import BY_ASSET
+from ..functions.rolling import by_asset
 
-BY_DAY = Window.partitionBy("t")
 HARD, WEAK = -5.0, -2.0
 #: A correlation of zero may come out as this much.
 NOISE = 1e-12
 
 
+def by_day():
+    return Window.partitionBy("t")
+
+
 def top_k(count: Column, share: float = 0.2, least: int = 2, most: int = 4) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(least), F.ceil(count * F.lit(share)).cast("int"))).cast("long")
 
@@ -35,9 +38,9 @@ def forward_targets(panel: DataFrame, start_t: int, end_t: int, horizon: int = 1
     rows = inside.withColumn("__sale", F.last(sale, ignorenulls=True).over(ahead))
     rows = rows.withColumns(
         {
-            "buy_t": F.lead("t", 1).over(BY_ASSET),
-            "__buy": F.lead(F.when(executable(), F.col("open")), 1).over(BY_ASSET),
-            "__sold": F.lead("__sale", 1 + horizon).over(BY_ASSET),
+            "buy_t": F.lead("t", 1).over(by_asset()),
+            "__buy": F.lead(F.when(executable(), F.col("open")), 1).over(by_asset()),
+            "__sold": F.lead("__sale", 1 + horizon).over(by_asset()),
         }
     )
     rows = rows.where((F.col("t") >= start_t) & F.col("buy_t").isNotNull() & F.col("tradable"))
@@ -45,9 +48,9 @@ def forward_targets(panel: DataFrame, start_t: int, end_t: int, horizon: int = 1
     rows = rows.withColumns({"sell_t": F.when(F.col("__buy").isNotNull(), F.col("__sold.t")), "fwd_ret": fwd})
     rows = rows.withColumns(
         {
-            "available_count": F.count("*").over(BY_DAY),
-            "__whole": F.min(F.col("fwd_ret").isNotNull()).over(BY_DAY),
-            "baseline_ret": F.avg("fwd_ret").over(BY_DAY),
+            "available_count": F.count("*").over(by_day()),
+            "__whole": F.min(F.col("fwd_ret").isNotNull()).over(by_day()),
+            "baseline_ret": F.avg("fwd_ret").over(by_day()),
         }
     )
     kept = rows.where(F.col("__whole") & (F.col("available_count") >= min_universe))
@@ -61,8 +64,8 @@ def ranked(targets: DataFrame, signal: str) -> DataFrame:
     ok = F.col("sig").isNotNull()
     return rows.withColumns(
         {
-            "rank": F.when(ok, F.row_number().over(BY_DAY.orderBy(F.col("sig").desc_nulls_last(), "asset_idx"))),
-            "eligible_count": F.count("sig").over(BY_DAY),
+            "rank": F.when(ok, F.row_number().over(by_day().orderBy(F.col("sig").desc_nulls_last(), "asset_idx"))),
+            "eligible_count": F.count("sig").over(by_day()),
             "rank_sig": F.when(ok, average_rank(["t"], "sig", ok)),
             "rank_ret": F.when(ok, average_rank(["t"], "fwd_ret", ok)),
         }
@@ -76,6 +79,11 @@ def average_rank(keys: list[str], value: str, ok: Column) -> Column:
     return F.rank().over(group.orderBy(value)) + (F.count("*").over(ties) - 1) / 2
 
 
+def correlation(a: str, b: str) -> Column:
+    """Pearson's; NULL where one side does not vary, for which the built-in raises a division by zero in ANSI mode."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def daily_scores(targets: DataFrame, signal: str, min_universe: int = 10) -> DataFrame:
     """One row for each decision day: the mean return of the best `top_k`, its excess over the mean of all, and the IC."""
     rows = ranked(targets, signal)
@@ -88,7 +96,7 @@ def daily_scores(targets: DataFrame, signal: str, min_universe: int = 10) -> Dat
         F.first("baseline_ret").alias("baseline_return"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(chosen, F.struct("rank", "asset_idx")))), lambda x: x["asset_idx"].cast("string")), ";").alias("selected"),
         F.max(F.when(chosen, F.coalesce("sell_t", F.lit(-1)))).alias("last_exit"),
-        F.when((F.first("eligible_count") >= min_universe) & (F.stddev_pop("rank_sig") > 0) & (F.stddev_pop("rank_ret") > 0), F.corr("rank_sig", "rank_ret")).alias("rank_ic"),
+        F.when(F.first("eligible_count") >= min_universe, correlation("rank_sig", "rank_ret")).alias("rank_ic"),
     )
     return out.withColumn("excess_return", F.col("absolute_return") - F.col("baseline_return"))
 
@@ -139,17 +147,17 @@ def older_daily_scores(panel: DataFrame, signal: str, horizon: int = 10, min_uni
     """The older scorer: fixed sale day, and days with fewer than two eligible assets are passed over."""
     rows = panel.withColumns(
         {
-            "b": F.lead("open", 1).over(BY_ASSET),
-            "s": F.lead("open", 1 + horizon).over(BY_ASSET),
-            "ok_b": F.lead("tradable", 1).over(BY_ASSET),
-            "ok_s": F.lead("tradable", 1 + horizon).over(BY_ASSET),
+            "b": F.lead("open", 1).over(by_asset()),
+            "s": F.lead("open", 1 + horizon).over(by_asset()),
+            "ok_b": F.lead("tradable", 1).over(by_asset()),
+            "ok_s": F.lead("tradable", 1 + horizon).over(by_asset()),
         }
     )
-    rows = rows.where(F.col("tradable") & F.col("ok_s").isNotNull()).withColumn("available_count", F.count("*").over(BY_DAY))
+    rows = rows.where(F.col("tradable") & F.col("ok_s").isNotNull()).withColumn("available_count", F.count("*").over(by_day()))
     rows = rows.where((F.col("available_count") >= min_universe) & F.col("ok_b") & F.col("ok_s") & F.col(signal).isNotNull() & (F.col("b") > 0) & F.col("s").isNotNull())
-    rows = rows.withColumn("eligible_count", F.count("*").over(BY_DAY)).where("eligible_count >= 2")
+    rows = rows.withColumn("eligible_count", F.count("*").over(by_day())).where("eligible_count >= 2")
     rows = rows.withColumn("top_k", F.least(top_k(F.col("available_count")), F.col("eligible_count")))
-    rows = rows.withColumn("rank", F.row_number().over(BY_DAY.orderBy(F.col(signal).desc(), "asset_idx"))).where("rank <= top_k")
+    rows = rows.withColumn("rank", F.row_number().over(by_day().orderBy(F.col(signal).desc(), "asset_idx"))).where("rank <= top_k")
     ret = F.col("s") / F.col("b") - 1
     return rows.groupBy("t", "day").agg(
         F.first("available_count").alias("available_count"),
