@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import event_sql, sql
 from .functions import factors
-from .operators import scoring
+from .operators import adjustment, scoring
 from .plans import language
 from .sources import star
 
@@ -200,6 +200,80 @@ def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(with_penalty, "coverage", "spread")
 
 
+# Corporate events. The tables have none, so every 97th week of a brand gets one, of the category that its index deals.
+
+
+def _weeks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, events) of the brand weeks."""
+    c = F.col("asset_idx") % 4
+    found = star.brand_panel(spark, sf_dir).where("(t + 7 * asset_idx) % 97 = 0")
+    events = found.select(
+        "symbol",
+        F.date_add("day", (F.col("asset_idx") % 3).cast("int")).alias("date"),
+        F.when(c == 0, 1).when(c == 1, 11).when(c == 2, 12).otherwise(5).alias("category_code"),
+        F.lit(10.0).alias("c1"),
+        F.lit(5.0).alias("c2"),
+        F.when(c == 0, 1.0).when(c == 1, 2.0).when(c == 2, 0.5).otherwise(0.0).alias("c3"),
+        F.lit(1.0).alias("c4"),
+    )
+    return star.bars_brand_week(spark, sf_dir), events
+
+
+def _adjusted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    bars, events = _weeks(spark, sf_dir)
+    audit = adjustment.event_audit(bars, events)
+    return adjustment.adjusted_bars(bars, audit), audit
+
+
+@query(event_sql.EVENT_AUDIT)
+def event_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = adjustment.event_audit(*_weeks(spark, sf_dir))
+    return rounded(audit, *[n for n, kind in audit.dtypes if kind == "double"], digits=6)
+
+
+@query(event_sql.ADJUSTED_BARS)
+def adjusted_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("price_factor", "share_factor", *adjustment.ADJUSTED, "adj_volume", "raw_return", "adj_return")
+    return rounded(_adjusted(spark, sf_dir)[0].select("symbol", "day", *names, "applied_event_count"), *names, digits=6)
+
+
+@query(event_sql.ADJUSTMENT_ANOMALIES)
+def adjustment_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = adjustment.anomalies(_adjusted(spark, sf_dir)[0])
+    return rounded(found.select("symbol", "day", "raw_return", "adj_return"), "raw_return", "adj_return", digits=6)
+
+
+@query(event_sql.ADJUSTMENT_QUALITY)
+def adjustment_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(adjustment.quality(*_adjusted(spark, sf_dir), lot=1.0), "max_raw_return", "max_adjusted_return", digits=6)
+
+
+@query(event_sql.GATE_FAILURES)
+def adjustment_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    adjusted, audit = _adjusted(spark, sf_dir)
+    return adjustment.gate_failures(adjustment.quality(adjusted, audit, lot=1.0), audit)
+
+
+@query(event_sql.RELATIVE_BARS)
+def relative_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = adjustment.relative_bars(_adjusted(spark, sf_dir)[0])
+    return rounded(found.select("symbol", "day", *adjustment.RELATIVE), *adjustment.RELATIVE, digits=6)
+
+
+@query(event_sql.RELATIVE_QUALITY)
+def relative_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjustment.relative_quality(adjustment.relative_bars(_adjusted(spark, sf_dir)[0]))
+
+
+@query(event_sql.RECONCILED_FLOW)
+def reconciled_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = star.brand_panel(spark, sf_dir).where("tradable and t % 5 <> 0")
+    flow = panel.select("symbol", "day", (F.col("volume") + 1).alias("vol"), F.when(F.col("t") % 7 != 0, F.col("amount") / 2000).alias("amount"))
+    found = adjustment.reconcile_flow(star.bars_brand_week(spark, sf_dir), flow)
+    out = found.select("symbol", "day", "volume", "amount", "flow_source", "tradable", "implied_price")
+    return rounded(rounded(out, "volume", "amount", digits=4), "implied_price")
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 
