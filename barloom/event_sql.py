@@ -75,10 +75,10 @@ SELECT count_if(high_rel < greatest(open_rel, close_rel)) AS invalid_high_rows,
   count_if(least(open_rel, high_rel, low_rel, close_rel) <= -1) AS impossible_price_rows FROM rel WHERE open_rel IS NOT NULL"""
 
 RECONCILED_FLOW = f"""WITH {BRAND}, {PANEL},
-flow AS (SELECT symbol, day, volume + 1 AS vol, CASE WHEN t % 7 <> 0 THEN amount / 2000 END AS thousands FROM panel WHERE tradable AND t % 5 <> 0),
+flow AS (SELECT symbol, day, volume + 1 AS vol, CASE WHEN t % 7 <> 0 THEN round(amount, 4) / 2000 END AS thousands FROM panel WHERE tradable AND t % 5 <> 0),
 mixed AS (
-  SELECT b.symbol, b.day, CASE WHEN thousands IS NOT NULL THEN vol ELSE b.volume END AS volume, CASE WHEN thousands IS NOT NULL THEN thousands * 1000 ELSE b.amount END AS amount,
+  SELECT b.symbol, b.day, CASE WHEN thousands IS NOT NULL THEN vol ELSE b.volume END AS volume, CASE WHEN thousands IS NOT NULL THEN thousands * 1000 ELSE round(b.amount, 4) END AS amount,
     CASE WHEN thousands IS NOT NULL THEN 'second_vendor' ELSE 'first_vendor' END AS flow_source
   FROM bars b LEFT JOIN flow f ON f.symbol = b.symbol AND f.day = b.day
 )
-SELECT symbol, day, round(volume, 4) + 0.0 AS volume, round(amount, 4) + 0.0 AS amount, flow_source, volume > 0 AND amount > 0 AS tradable, round(amount / (volume * 100), 8) + 0.0 AS implied_price FROM mixed"""
+SELECT symbol, day, round(volume, 4) + 0.0 AS volume, round(amount, 4) + 0.0 AS amount, flow_source, volume > 0 AND amount > 0 AS tradable, amount / (volume * 100) AS implied_price FROM mixed"""
