@@ -109,10 +109,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = joined.groupBy("class").agg(F.min("first").alias("component_id"))
     of = joined.select("fp", "class").join(named, "class").select("fp", "component_id")
     return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """The rows of `docs`, with all columns, whose id is the smallest of its group of near-duplicates."""
-    found = near_duplicates(docs, id_col, text_col, words)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__kept")), "left_semi")
