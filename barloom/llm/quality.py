@@ -1,7 +1,8 @@
 """Quality by ordinal cumulative-link regression on graded ratings.
 
 A text's features are relative frequencies of hashed tokens: of each run between white space, its letters and signs as
-they are, its shape, the signs at its end, and whether it repeats the run before. All grades share one weight vector; ordered thresholds cut the line, so
+they are, its shape, the signs at its end, and whether it repeats the run before. Long runs are whole: they count as
+consecutive pieces, each with its own letters and shape. All grades share one weight vector; ordered thresholds cut the line, so
 that P(grade <= k) = logistic(threshold[k] - weights . features). The result is the expected grade and the probability of
 at least a wanted grade, by which documents are selected.
 """
@@ -28,16 +29,30 @@ LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 
 
+#: Signs of a piece of a run.
+PIECE = 64
+
+
+def n_pieces(run: str) -> int:
+    return -(-len(run) // PIECE)
+
+
 def token_buckets(run: str) -> list[int]:
-    """Buckets of a run between white space: the run case-folded, its shape, and the shape of its last three signs."""
+    """Buckets of a run between white space: each piece case-folded, each piece's shape, and the last three signs of the
+    whole run's shape."""
 
     def shaped(m: re.Match) -> str:
         word = m[0]
         return "A" if word.isupper() else "a" if word.islower() else "Aa"
 
-    shape = DIGITS.sub("0", LETTERS.sub(shaped, run[:64]))
-    parts = ("w " + run[:64].casefold(), "s " + shape, "e " + shape[-3:])
-    return [*map(_bucket, parts)]
+    def shape_of(part: str) -> str:
+        return DIGITS.sub("0", LETTERS.sub(shaped, part))
+
+    out = []
+    for i in range(0, len(run), PIECE):
+        piece = run[i : i + PIECE]
+        out += _bucket("w " + piece.casefold()), _bucket("s " + shape_of(piece))
+    return [*out, _bucket("e " + shape_of(run)[-3:])]
 
 
 def _bucket(token: str) -> int:
@@ -71,6 +86,9 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         runs = (text or "").split()
         found = []
         for r in runs:
+            if len(r) > PIECE:
+                found += token_buckets(r)
+                continue
             if r not in known:
                 if len(known) > CACHED:
                     known.clear()
@@ -80,7 +98,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         bucket, n = np.unique(np.array(found, np.int64), return_counts=True)
         rows.append(np.full(len(bucket), i))
         cols.append(bucket)
-        values.append(n / max(1, len(runs)))
+        values.append(n / max(1, sum(map(n_pieces, runs))))
     return (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, cols, values))
 
 
@@ -141,15 +159,19 @@ class Rater:
 
     def __call__(self, text: str | None) -> float:
         runs, known, weights = (text or "").split(), self.known, self.model.weights
+        count = len(runs)
         try:
             total = sum(map(known.__getitem__, runs))
         except KeyError:
             if len(known) > CACHED:
                 known.clear()
-            for r in {*runs}.difference(known):
+            long = [r for r in runs if len(r) > PIECE]  # never remembered, so that a task's memory stays bounded
+            short = [r for r in runs if len(r) <= PIECE] if long else runs
+            for r in {*short}.difference(known):
                 known[r] = float(weights[token_buckets(r)].sum())
-            total = sum(map(known.__getitem__, runs))
-        return (total + repeats(runs) * float(weights[REPEAT])) / max(1, len(runs))
+            total = sum(map(known.__getitem__, short)) + sum(float(weights[token_buckets(r)].sum()) for r in long)
+            count = len(short) + sum(map(n_pieces, long))
+        return (total + repeats(runs) * float(weights[REPEAT])) / max(1, count)
 
 
 def rated(docs: DataFrame, model: CumulativeLink, at_least: int = 1, text_col: str = "text") -> Column:
