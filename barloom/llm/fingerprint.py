@@ -139,10 +139,14 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ordered = ordered.repartitionByRange(down).sortWithinPartitions(down, "text")
     found = cut(ordered.mapInArrow(compare, f"doc_id bigint, {KIND_DDL}, part int, head string, tail string"))
     ends = found.where("part is not null")  # one row for each range
+    # The numbers of the ranges alone go through one task; texts move by a join.
     by = Window.orderBy("part")
-    following = F.coalesce(F.lead("head").over(by), F.first("head").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    after = F.coalesce(F.lead("part").over(by), F.first("part").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    order = ends.select("part", after.alias("after"))
+    heads = ends.select(F.col("part").alias("after"), F.col("head").alias("next"))
     of = mapped(lambda rows: [_compared(r["tail"], r["next"]) for r in rows], KIND, f"struct<{KIND_DDL.replace(' ', ': ').replace(',:', ',')}>")
-    ends = ends.select("doc_id", F.struct("tail", following.alias("next")).alias("p")).select("doc_id", of("p").alias("x")).select("doc_id", "x.*")
+    ends = ends.select("part", "doc_id", "tail").join(order, "part").join(heads, "after")
+    ends = ends.select("doc_id", F.struct("tail", "next").alias("p")).select("doc_id", of("p").alias("x")).select("doc_id", "x.*")
     every = found.where("part is null").drop("part", "head", "tail").unionByName(ends)
     apart = collided(docs, every.select("digest"), text_col).withColumn("apart", F.lit(True))
 
