@@ -17,14 +17,17 @@ so any id is found by its block's start alone.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,8 +35,10 @@ from pyspark.sql import functions as F
 from .support import built, file_bytes, shared_folder
 
 BLOCK, PERCENTILE, CHUNK = 4096, 95.0, 1 << 18
-#: Encodings that a task keeps, of runs of at most CACHED_LENGTH bytes between white space.
-CACHED, CACHED_LENGTH = 800_000, 64
+#: Runs between white space, and words, of one generation whose ids a worker keeps, of at most CACHED_LENGTH signs each.
+CACHED, CACHED_LENGTH = 400_000, 48
+#: Bytes of texts that a task encodes at once, one text at least.
+PIECE_BYTES = 2 << 20
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -79,12 +84,45 @@ def unpack(payload: bytes, first: int = 0, last: int | None = None) -> np.ndarra
     return np.concatenate(out)[first - offset : last - offset]
 
 
+#: Fixed value: white space as the vocabulary's normaliser has it.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Fixed value: the vocabulary's word pattern, after texts are in lower case, for runs of ASCII alone and for others.
+ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w{WHITE}]|_)+")
+#: Texts with a capital sigma (whose lower case depends on its place in Python alone) or with letters that not every
+#: version of Unicode has, go to the library whole.
+UNSURE = re.compile("[Σ\u1c89\u1c8a\ua7c0-\ua7ff\U00010000-\U0001efff]")
+
+
+class Recent:
+    """What a worker remembers: entries of one generation and of the one before; those that are met again move up."""
+
+    def __init__(self, room: int):
+        self.room, self.now, self.before = room, {}, {}
+
+    def fresh(self, keys: set) -> set:
+        """The keys that are not remembered. Call it once for each batch."""
+        if len(self.now) > self.room:
+            self.now, self.before = {}, self.now
+        new = keys.difference(self.now)
+        if self.before:
+            left = new.difference(self.before)
+            again = new - left
+            self.now.update(zip(again, map(self.before.__getitem__, again)))
+            new = left
+        return new
+
+    def forget(self, keys) -> None:
+        for k in keys:
+            self.now.pop(k, None)
+
+
 class Encoder:
     """Ids of whole texts by a tokenizers .json whose words never span white space.
 
-    Runs between ASCII white space are encoded once and remembered: their ids do not depend on their neighbours, since
-    the vocabulary's normaliser and word pattern treat all white space alike and drop it. A letter or digit followed by
-    full stops or commas is a boundary too, so a run is looked up without those.
+    Texts are normalised as the vocabulary says and cut at white space; runs that are not remembered are cut into words,
+    whose ids do not depend on their neighbours. Words that are not remembered go to the library joined by spaces, and
+    the end-of-word tokens part their ids. Texts with special strings go there whole.
     """
 
     def __init__(self, data: bytes):
@@ -92,46 +130,67 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data.decode())
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _cut(run: bytes) -> tuple[bytes, bytes]:
-        """The run without the full stops and commas at its end, A-Z lower-cased as the vocabulary does; and those."""
-        if b"<|" in run:  # may be a special string, whose case counts
-            return run, b""
-        head = run.rstrip(b".,")
-        if not head or not head[-1:].isalnum():
-            last = unicodedata.normalize("NFC", head.decode()[-1]).lower() if head and head[-1] > 127 else ""
-            if len(last) != 1 or not last.isalpha():  # a sign, or a letter that becomes a letter and a mark
-                return run.lower(), b""
-        return head.lower(), run[len(head) :]
-
-    def _encode_words(self, words: list[bytes]) -> None:
+        ending = [i for token, i in self.library.get_vocab().items() if token.endswith("</w>")]
+        self.ends_word = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.ends_word[ending] = True
+        #: Ids of runs and of words alike.
+        self.known = Recent(CACHED)
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[bytes]) -> None:
         for i in range(0, len(words), 4096):
             part = words[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                self.words[w] = np.array(e.ids, "<u4").tobytes()
+            (joined,) = self._ids([b" ".join(part).decode()])
+            ends = ((np.flatnonzero(self.ends_word[np.frombuffer(joined, "<u4")]) + 1) * 4).tolist()
+            if len(ends) == len(part):
+                self.known.now.update(zip(part, map(joined.__getitem__, map(slice, [0, *ends], ends))))
+            else:  # a match held several words, such as numerals that are no digits
+                self.known.now.update(zip(part, self._ids([*map(bytes.decode, part)])))
+
+    def _learn(self, runs: set[bytes]) -> None:
+        plain, mixed, cut = [], [], []
+        for r in runs:
+            if r.isalpha():
+                plain.append(r)
+            else:
+                mixed.append(r)
+                cut.append(ASCII_WORDS.findall(r) if r.isascii() else [w.encode() for w in WORDS.findall(r.decode())])
+        words = {*chain.from_iterable(cut)}.difference(self.known.now, plain)
+        self._learn_words([*plain, *words])
+        known = self.known.now.__getitem__
+        self.known.now.update([(r, known(ws[0]) if len(ws) == 1 else b"".join(map(known, ws))) for r, ws in zip(mixed, cut)])
 
     def encode(self, texts: list[str | None], end: int | None) -> list[np.ndarray]:
         """Arrays of ids of the texts (null: empty), each with `end` behind it if that is given."""
-        for cache in (self.runs, self.words):
-            if len(cache) > CACHED:
-                cache.clear()
-        known = self.runs
-        runs = [t.encode().split() if t else [] for t in texts]
-        fresh = list({r for rs in runs for r in rs}.difference(known))
-        cuts = [*map(self._cut, fresh)]
-        self._encode_words(list({w for c in cuts for w in c if w}.difference(self.words)))
-        words = self.words
-        for run, (head, tail) in zip(fresh, cuts):
-            known[run] = words[head] + words[tail] if tail else words[head]
-        stop = b"" if end is None else struct.pack("<I", end)
-        out = [np.frombuffer(b"".join([*map(known.__getitem__, rs), stop]), "<u4") for rs in runs]
-        for run, (head, _) in zip(fresh, cuts):
-            if len(run) > CACHED_LENGTH:
-                del known[run]
-                words.pop(head, None)
+        plain, whole = [], []
+        for i, t in enumerate(texts):
+            if t and ("<|" in t or not t.isascii() and UNSURE.search(t)):
+                whole.append(i)
+                t = None
+            if t and not t.isascii():
+                t = unicodedata.normalize("NFC", t)
+            plain.append(t.lower() if t else "")
+        split = pc.ascii_split_whitespace(pa.array(plain, pa.large_string()))
+        runs = split.flatten().dictionary_encode()
+        distinct, at = runs.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist(), runs.indices.to_numpy()
+        fresh = self.known.fresh({*distinct})
+        self._learn(fresh)
+        ids = [*map(self.known.now.__getitem__, distinct)]
+        self.known.forget([r for r in fresh if len(r) > CACHED_LENGTH])
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        sizes = size[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        every = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        edges = ends[split.offsets.to_numpy()]
+        if end is not None:
+            every = np.insert(every, edges[1:], end)
+            edges = edges + np.arange(len(edges))
+        out = [every[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        for i in whole:
+            out[i] = np.frombuffer(self._ids([texts[i]])[0] + (b"" if end is None else struct.pack("<I", end)), "<u4")
         return out
 
 
@@ -162,8 +221,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int | None, i
             )
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                piece = batch.slice(i, 256)
+            step = max(1, min(1024, batch.num_rows * PIECE_BYTES // max(1, batch.nbytes)))
+            for i in range(0, batch.num_rows, step):
+                piece = batch.slice(i, step)
                 for doc, got in zip(piece.column(0).to_pylist(), encoder.encode(piece.column(1).to_pylist(), end)):
                     ids.append(doc)
                     lengths.append(len(got))
