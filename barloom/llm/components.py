@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import cut
+from .support import cut, join_hot
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,19 +14,20 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its smallest one, then its
     smaller neighbours. Rows never exceed the links, and the number of rounds grows with the logarithm of a group's
-    size. Each round is cut off by a checkpoint. Loops (a = b) and nulls are dropped.
+    size. Each round is cut off by a checkpoint. Nodes with many links are broadcast. Loops (a = b) and nulls are dropped.
     """
     links = links.select("a", "b").where("a is not null and b is not null")
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    count, mark = now.count(), None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")))
+        large = join_hot(both, least, "a", 2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.where("a <> b").distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least.hint("merge"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        least = cut(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = join_hot(large, least, "a", large.count()).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         now = cut(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         last, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        count = mark[0]
         if mark == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

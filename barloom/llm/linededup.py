@@ -3,25 +3,27 @@
 A line's key is hashed to 128 bits. The state is a table (key, n_docs): in how many documents a key occurs. Documents
 are inserted by adding their counts and deleted by subtracting them, in any order, so the state after a deletion is the
 state without the document. Keys at or above a threshold are frequent; each shard of them has a cuckoo filter, which
-takes insertions and deletions as keys cross the threshold, and the sorted keys themselves. A line is looked up in the
-filter first and, only if that says yes, in the exact keys.
+takes insertions and deletions as keys cross the threshold, and the sorted keys themselves. A line goes to the filter of
+its key's shard and, only if that says yes, on to the exact keys. Keys that are in a large part of all documents are few,
+whatever the input; tasks have them at hand, so that their lines need not move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .support import built, cut, mapped
+from .support import HOT, cut, mapped
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Keys of a shard at most, on average.
 SHARD_KEYS = 1 << 16
-#: Bytes of filters and keys that are broadcast; beyond that, lines are routed to the keys by a join.
-BROADCAST_BYTES = 64 << 20
 
 
 def lines_of(text: str | None) -> list[bytes]:
@@ -166,18 +168,36 @@ def refresh_filters(filters: DataFrame, before: DataFrame, after: DataFrame, lea
     return filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(move, FILTERS)
 
 
-class FrequentLines:
-    """Lookup of digests in filters, then in exact keys."""
-
-    def __init__(self, rows: list[tuple[bytes, bytes]]):
-        self.filters = [CuckooFilter(0, np.frombuffer(tags, np.uint16)) for tags, _ in rows]
-        self.keys = {keys[i : i + 16] for _, keys in rows for i in range(0, len(keys), 16)}
-
-    def found(self, digests: list[bytes]) -> set[bytes]:
-        maybe = np.zeros(len(digests), bool)
-        for f in self.filters:
-            maybe |= f.contains(digests)
-        return {d for d, m in zip(digests, maybe.tolist()) if m and d in self.keys}
+def maybe_frequent(lines: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The rows of `lines` (id, key) whose shard's filter says yes: a stream through each shard, behind its filter."""
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    line = lines.select(shard, F.col("key"), "id", F.lit(None).cast("binary").alias("tags"))
+    kind = line.schema["id"].dataType
+    first = filters.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast(kind).alias("id"), "tags")
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held = None, None
+        for batch in batches:
+            shard = batch["shard"].to_numpy()
+            at = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+                if i == j:
+                    continue
+                part = batch.slice(i, j - i)
+                if shard[i] != current:
+                    current, held = shard[i], None
+                for tags in part["tags"].drop_null().to_pylist():
+                    held = CuckooFilter(0, np.frombuffer(tags, np.uint16))
+                part = part.filter(part["key"].is_valid())
+                if held is None or not part.num_rows:
+                    continue
+                yes = held.contains(part["key"].to_pylist())
+                yield part.filter(pa.array(yes)).select(["id", "key"])
+
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = line.unionByName(first).repartition(parts, "shard").sortWithinPartitions("shard", F.col("key").isNotNull())
+    out = StructType([StructField("id", kind), StructField("key", BinaryType())])
+    return both.mapInArrow(probe, out)
 
 
 DROPPED = pa.struct([("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept", pa.string())])
@@ -189,43 +209,39 @@ def _without(lines: list[bytes], digests: list[bytes], gone: set[bytes]) -> dict
     return {"n_lines": len(lines), "n_dropped": len(lines) - len(kept), "kept": b"\n".join(kept).decode("utf-8", "surrogatepass")}
 
 
-def with_kept_lines(docs: DataFrame, counts: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """`docs` with a column __kept (n_lines, n_dropped, kept: the text without lines that `counts` has as frequent).
+def with_kept_lines(docs: DataFrame, counts: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row: all of `docs`' columns, kept: n_lines, n_dropped and the text without lines that `counts` has as frequent).
 
-    Filters and keys of up to `broadcast_bytes` go to every task; beyond, the digests of all lines are joined to the
-    frequent keys and come back to their documents by id. Both give the same.
+    The digests of a document's lines meet the filters of their shards, those that pass meet the exact keys, and what is
+    frequent comes back to the documents by id. Fewer than HOT keys, each with more than 1 / HOT of all frequent lines,
+    are known to every task instead. Rows that share an id share what comes back, which harms nothing.
     """
-    frequent = cut(counts.where(F.col("n_docs") >= least))
-    n = frequent.count()
-    if n * 20 <= broadcast_bytes:
-        filters = build_filters(frequent, least, -(-n // SHARD_KEYS) or 1)
-        held = docs.sparkSession.sparkContext.broadcast([(bytes(r["tags"]), bytes(r["keys"])) for r in filters.collect()])
-
-        def drop(texts: list) -> list:
-            known = built(FrequentLines, held.value)
-            all_lines = [lines_of(t) for t in texts]
-            digests = [[*map(digest_of, lines)] for lines in all_lines]
-            gone = known.found([*{d for ds in digests for d in ds} - {b""}])
-            return [_without(lines, ds, gone & {*ds}) for lines, ds in zip(all_lines, digests)]
-
-        return docs.withColumn("__kept", mapped(drop, DROPPED, DROPPED_DDL)(F.col(text_col)))
-    of = mapped(lambda texts: [sorted({*map(digest_of, lines_of(t))} - {b""}) for t in texts], pa.list_(pa.binary()), "array<binary>")
-    lines = docs.select(F.col(id_col).alias("__id"), F.explode(of(F.col(text_col))).alias("key")).distinct()
-    gone = lines.join(frequent.select("key"), "key", "left_semi").groupBy("__id").agg(F.collect_set("key").alias("__gone"))
+    frequent = cut(counts.where(F.col("n_docs") >= least).select("key", "n_docs"))
+    n, total = frequent.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    is_hot = F.col("n_docs") * HOT > total
+    hot = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]) for r in frequent.where(is_hot).collect()})  # fewer than HOT
+    cold = frequent.where(~is_hot)
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_KEYS))
+    of = mapped(lambda texts: [[*({*map(digest_of, lines_of(t))} - {b""} - hot.value)] for t in texts], pa.list_(pa.binary()), "array<binary>")
+    lines = docs.select(docs[id_col].alias("id"), F.explode(of(docs[text_col])).alias("key"))
+    passed = maybe_frequent(lines, build_filters(cold, least, shards), shards)
+    gone = passed.join(cold.select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("gone"))
 
     def drop_some(rows: list) -> list:
-        out = []
+        out, always = [], hot.value
         for r in rows:
             lines = lines_of(r["t"])
-            out.append(_without(lines, [*map(digest_of, lines)], {*(r["g"] or [])}))
+            digests = [*map(digest_of, lines)]
+            out.append(_without(lines, digests, always.intersection(digests) | {*(r["g"] or [])}))
         return out
 
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    both = F.struct(F.col(text_col).alias("t"), F.col("__gone").alias("g"))
-    return joined.withColumn("__kept", mapped(drop_some, DROPPED, DROPPED_DDL)(both)).drop("__id", "__gone")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("own"), docs[text_col].alias("text"))
+    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left")
+    both = F.struct(F.col("text").alias("t"), F.col("gone").alias("g"))
+    return joined.select("row", mapped(drop_some, DROPPED, DROPPED_DDL)(both).alias("kept"))
 
 
-def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256, kept) of every row.
 
     Lines whose key is in at least `least` rows of `docs` (or of what `counts` holds) are dropped everywhere; others stay
@@ -234,12 +250,13 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     """
     bare = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     counts = line_counts(bare) if counts is None else counts
-    found = with_kept_lines(bare, counts, least, broadcast_bytes=broadcast_bytes)
-    return found.select("doc_id", "__kept.n_lines", "__kept.n_dropped", F.sha2(F.col("__kept.kept"), 256).alias("kept_sha256"), "__kept.kept")
+    found = with_kept_lines(bare, counts, least)
+    return found.select("row.doc_id", "kept.n_lines", "kept.n_dropped", F.sha2(F.col("kept.kept"), 256).alias("kept_sha256"), "kept.kept")
 
 
 def drop_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs`, with all rows and columns, without frequent lines in the text. Null texts stay null."""
+    """`docs`, with all rows and columns, without frequent lines in the text. Null texts stay null, null ids and repeated
+    rows stay as they are, an empty table stays empty, and columns may have any names."""
     found = with_kept_lines(docs, line_counts(docs, text_col), least, id_col, text_col)
-    kept: Column = F.when(F.col(text_col).isNotNull(), F.col("__kept.kept"))
-    return found.withColumn(text_col, kept).drop("__kept")
+    kept: Column = F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("kept.kept"))
+    return found.select(*[(kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

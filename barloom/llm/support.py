@@ -19,16 +19,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir` of the session.
+    """The folder that driver and executors share: `spark.checkpoint.dir` of the session, or what was set on its context.
 
-    Only where it is unset, as in tests, a temporary one is set.
+    Only in local mode, where all is one machine, a temporary folder is set if there is none; a cluster needs the setting.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,6 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A key is hot if it has more than this part of all rows, so there are fewer hot keys than this.
+HOT = 10_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """`left` joined with `right`, which has one row for each key and in the column n how often `left` has the key.
+
+    rows: of `left`, which has no nulls in `key`. The hot keys, fewer than HOT whatever the input, are broadcast, so that
+    their rows stay where they are; the others meet in a shuffle.
+    """
+    names = [c for c in right.columns if c not in (key, "n")]
+    held = F.struct(*names).alias("_held")
+    hot = right.where(F.col("n") * HOT > rows).select(key, held)  # fewer than HOT rows
+    marked = left.join(F.broadcast(hot), key, "left")
+    rest = marked.where("_held is null").drop("_held").join(right.select(key, held), key)
+    both = marked.where("_held is not null").unionByName(rest)
+    return both.select(*left.columns, *[F.col("_held")[c].alias(c) for c in names])
+
+
 def mapped(f: Callable[[list], list], kind: pa.DataType, ddl: str) -> Callable[[Column], Column]:
     """A column function from `f`, which takes a list of values (None for null) and returns a list of `kind`.
 

@@ -175,11 +175,12 @@ def _dropped(texts, least):
     return [(len(lines), [line for line in lines if not key(line) or count[key(line)] < least]) for lines in split]
 
 
-@pytest.mark.parametrize("limit", [64 << 20, 0])
-def test_line_dedup_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT", hot)
     rng = random.Random(2)
     texts = ["\n".join(rng.choice(["Buy now", " buy NOW\t", f"own {i}", "", "rare", "ÄÖ", "äö"]) for _ in range(rng.randint(0, 9))) for i in range(60)] + ODD
-    found = rows(linededup.dedup_lines(frame(spark, texts), 10, broadcast_bytes=limit))
+    found = rows(linededup.dedup_lines(frame(spark, texts), 10))
     for i, (n, kept) in enumerate(_dropped(texts, 10)):
         assert (found[i]["n_lines"], found[i]["n_dropped"]) == (n, n - len(kept))
         assert found[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
