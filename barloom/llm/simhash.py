@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .support import cut, mapped
+from .support import cut, join_hot, mapped
 
 BITS = 64
 
@@ -84,8 +84,9 @@ def links(fps: DataFrame, width: int = 4) -> DataFrame:
     """
     n = BITS // width
     visiting = _visiting(fps, width)
-    shared = visiting.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
-    met = visiting.join(shared, "cell", "left_semi")
+    shared = cut(visiting.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
+    # Every fingerprint visits 33 cells at most, so hot cells among the visits are few too.
+    met = join_hot(visiting, shared, "cell", shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     #: In the cell that segment (k - 1) % n leads to, lie the words with one bit of that segment set or cleared.
     flipped = f"transform(sequence(0, {width - 1}), j -> fp ^ shiftleft(1L, cast((k - 1) % {n} * {width} + j as int)))"
     there = f"filter({flipped}, w -> bit_count(w) - bit_count(fp) = if(k <= {n}, 1, -1))"
@@ -103,9 +104,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an empty one; other columns of `docs` are left out, whatever their names.
     """
     fps = cut(fingerprints(docs, id_col, text_col, words))
-    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classes = components(links(fps, width))
-    joined = first.join(classes, first.fp == classes.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("class"))
+    joined = first.join(classes, first.fp == classes.node, "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("class"))
     named = joined.groupBy("class").agg(F.min("first").alias("component_id"))
-    of = joined.select("fp", "class").join(named, "class").select("fp", "component_id")
-    return fps.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of = joined.select("fp", "n", "class").join(named, "class").select("fp", "n", "component_id")
+    return join_hot(fps, of, "fp", fps.count()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
