@@ -141,7 +141,10 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
-    """`docs` with a column __found; further blocks of windows take further passes, each behind a checkpoint."""
+    """(row: all of `docs`' columns, text, __found) of every row; further blocks of windows take further passes, each
+    behind a checkpoint."""
+    docs = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    text_col = "text"
     passes = scan_benchmark(docs, benchmark, n, text_col, item_col, item_text_col, block_bytes)
     _, column = next(passes)
     docs = docs.withColumn("__found", column)
@@ -171,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
         ]
 
     more = mapped(digest, pa.struct([("n_hit", pa.int64()), ("sha", pa.string())]), "struct<n_hit: long, sha: string>")
-    found = found.select("doc_id", "__found", more("__found").alias("__more"))
+    found = found.select("row.doc_id", "__found", more("__found").alias("__more"))
     return found.select(
         "doc_id",
         F.col("__found.n_words").alias("n_words"),
@@ -185,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: st
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs`, with all columns, in which no benchmark window occurs. Null and empty texts stay."""
     found = _scanned(docs, benchmark, n, text_col, item_col, item_text_col, block_bytes)
-    return found.where(F.size("__found.items") == 0).drop("__found")
+    return found.where(F.size("__found.items") == 0).select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -216,5 +219,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: s
             out.append(b"".join([*kept, data[since:]]).decode("utf-8", "surrogatepass"))
         return out
 
-    text = mapped(cleaned, pa.string(), "string")(F.struct(F.col("__found").alias("f"), F.col(text_col).alias("t")))
-    return found.withColumn(text_col, text).drop("__found")
+    text = mapped(cleaned, pa.string(), "string")(F.struct(F.col("__found").alias("f"), F.col("text").alias("t")))
+    found = found.select("row", text.alias("text"))
+    return found.select(*[F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns])
