@@ -2,8 +2,10 @@
 
 The pieces of a text form a lattice over its characters. A forward Viterbi pass gives the best score up to each position;
 these are exact heuristics for a backward A-star search from the end, which therefore yields the segmentations in order
-of score. Scores are the model's own. Characters without a piece are
-byte pieces, 10 below the lowest score of a single character.
+of score. Scores are logarithms of probabilities of single pieces: a unigram model's own, or, for a model of merges,
+whose scores are no more than minus the rank of a merge, those of Zipf's law over the ranks (see `zipf`). So the best
+segmentation is the likeliest under that law, not the one that the merges lead to. Characters without a piece are byte
+pieces, 10 below the lowest score of a single character.
 
 Where no piece has two neighbouring characters in a row, every path passes between them, so the lattice falls into spans
 there, mostly words. Spans recur, and their best segmentation and the loss to the second best are remembered. The N best
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import zlib
 from operator import itemgetter
 
@@ -29,6 +32,11 @@ SPACE = "▁"
 CACHED, CACHED_LENGTH, SEVERAL = 150_000, 32, 20_000
 
 
+def zipf(rank: float, n: int) -> float:
+    """The logarithm of a piece's probability by Zipf's law: 1 / rank over the sum of 1 / k for n pieces."""
+    return -math.log(max(1.0, rank)) - math.log(math.log(n) + 0.5772156649 + 0.5 / n)
+
+
 class PieceModel:
     """A SentencePiece vocabulary with byte pieces and an identity normaliser."""
 
@@ -40,7 +48,11 @@ class PieceModel:
         if spec.normalizer_spec.precompiled_charsmap or spec.normalizer_spec.remove_extra_whitespaces or not spec.trainer_spec.byte_fallback:
             raise ValueError("only models with byte pieces and without text normalisation are supported")
         self.prefix = spec.normalizer_spec.add_dummy_prefix
-        normal = {p.piece: (p.score, i) for i, p in enumerate(spec.pieces) if p.type == p.NORMAL}
+        merges = spec.trainer_spec.model_type == spec.trainer_spec.BPE
+        if not merges and spec.trainer_spec.model_type != spec.trainer_spec.UNIGRAM:
+            raise ValueError("only unigram and BPE models are supported")
+        known = [(i, p) for i, p in enumerate(spec.pieces) if p.type == p.NORMAL]
+        normal = {p.piece: (zipf(-p.score, len(known)) if merges else p.score, i) for i, p in known}
         self.setup(normal, {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == p.BYTE})
 
     @classmethod

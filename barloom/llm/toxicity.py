@@ -25,8 +25,9 @@ from .support import built, mapped
 #: Words longer than this are seen through overlapping windows of this many symbols, a half apart.
 LONGEST = 24
 ORDER, DECAY = 3, 0.75
-#: Kernel values below this count as none; the others are raised to POWER, which keeps the kernel positive definite and
-#: parts an insult, even a disguised one, from what chance shares with it.
+#: Kernel values below this count as none; the others are raised to POWER, which parts an insult, even a disguised one,
+#: from what chance shares with it. Values cut off in this way need not be positive definite, so the Nyström root leaves
+#: out eigenvalues that are negative or less than a thousandth of the largest.
 LEAST, POWER = 0.5, 3
 #: Symbols: 26 letters, 10 digits, and others by code point.
 SYMBOLS = 48
@@ -63,11 +64,13 @@ def windows(word: str) -> list[str]:
 
 
 def words_of(raw: str) -> list[str]:
-    """The kernel's words of a case-folded run between white space: without signs at its ends, and also without those
-    inside if there are any."""
+    """The kernel's words of a case-folded run between white space: without signs at its ends and, if there are any inside,
+    also without those, and each part between them."""
     word = EDGE.sub("", raw)
     plain = INNER.sub("", word)
-    return windows(word) if plain == word else windows(word) + windows(plain)
+    if plain == word:
+        return windows(word)
+    return [*windows(word), *windows(plain), *(w for part in INNER.split(word) for w in windows(part))]
 
 
 def raw_words(text: str | None) -> set[str]:

@@ -124,6 +124,14 @@ def test_pieces_round_trip(spark):
         assert found[i]["nbest_scores"] == sorted(found[i]["nbest_scores"], reverse=True)
 
 
+def test_scores_of_merges_are_probabilities():
+    n = 20_000
+    assert sum(np.exp(pieces.zipf(k, n)) for k in range(1, n + 1)) == pytest.approx(1, abs=1e-6)
+    model = pieces.PieceModel(support.file_bytes("piece_bpe_32k.model"))
+    (score, ids), (second, _) = model.encode("the", 2)
+    assert np.frombuffer(ids, "<u4").size == 1 and second < score < 0
+
+
 # 3
 
 
@@ -234,6 +242,11 @@ def test_kernel_equals_its_definition():
             assert got[i, j] == pytest.approx(want if want >= toxicity.LEAST else 0, abs=1e-5)
 
 
+def test_runs_are_also_seen_in_parts():
+    assert toxicity.words_of("you,idiot/go") == ["you,idiot/go", "youidiotgo", "you", "idiot"]
+    assert toxicity.words_of('"idiot"') == ["idiot"] and toxicity.words_of("--") == []
+
+
 def test_toxicity_learns_and_takes_odd_texts(spark):
     rng = random.Random(6)
     plain = [f"calm{i} word" for i in range(40)]
