@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .support import built, file_bytes, mapped
 
 SPACE = "▁"
+#: Scores are multiples of 1 / GRID.
+GRID = 1 << 20
 #: Spans of one generation that a worker keeps, of at most CACHED_LENGTH characters each, and those whose N best it keeps.
 CACHED, CACHED_LENGTH, SEVERAL = 150_000, 32, 20_000
 
@@ -64,6 +66,8 @@ class PieceModel:
         return made
 
     def setup(self, normal: dict[str, tuple[float, int]], byte_ids: dict[int, int]) -> None:
+        # On a grid, sums are exact in any order, so that equally likely paths tie and the search need not visit them all.
+        normal = {piece: (round(score * GRID) / GRID, i) for piece, (score, i) in normal.items()}
         #: Pieces by their characters: each leads to [further characters, score or None, id as bytes].
         self.tree: dict[str, list] = {}
         for piece, (score, i) in normal.items():
