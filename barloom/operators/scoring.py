@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.rolling import by_asset
 
 HARD, WEAK = -5.0, -2.0
-#: A correlation of zero may come out as this much.
-NOISE = 1e-12
+#: Digits that a correlation keeps: one that is zero may come out as 1e-17.
+DIGITS = 12
 
 
-def by_day():
-    return Window.partitionBy("t")
+def by_day(keys: tuple[str, ...] = ()):
+    return Window.partitionBy(*keys, "t")
 
 
 def top_k(count: Column, share: float = 0.2, least: int = 2, most: int = 4) -> Column:
@@ -24,14 +24,14 @@ def executable() -> Column:
     return F.col("tradable") & (F.col("open") > 0)
 
 
-def forward_targets(panel: DataFrame, start_t: int, end_t: int, horizon: int = 10, min_universe: int = 10) -> DataFrame:
+def forward_targets(panel: DataFrame, start_t: int, end_t: int | None, horizon: int = 10, min_universe: int = 10) -> DataFrame:
     """The panel's rows of decision days with what a purchase on the next day brings.
 
-    Bought at the next open; sold at the first executable open from `horizon` days on, inside the split. What cannot be
+    The split ends with `end_t`, or with the calendar. Bought at the next open; sold at the first executable open from `horizon` days on, inside the split. What cannot be
     bought stays cash. A day on which something bought cannot be sold, or with fewer than `min_universe` available
     assets, is left out. Adds buy_t, sell_t, fwd_ret, available_count, top_k and baseline_ret.
     """
-    inside = panel.where(F.col("t") <= end_t)
+    inside = panel if end_t is None else panel.where(F.col("t") <= end_t)
     sale = F.when(executable(), F.struct("t", "open"))
     # The next executable row at or after each: a running last value in reverse order, linear in the rows.
     ahead = Window.partitionBy("asset_idx").orderBy(F.col("t").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -57,17 +57,24 @@ def forward_targets(panel: DataFrame, start_t: int, end_t: int, horizon: int = 1
     return kept.withColumn("top_k", top_k(F.col("available_count"))).drop("__sale", "__buy", "__sold", "__whole")
 
 
-def ranked(targets: DataFrame, signal: str) -> DataFrame:
-    """Target rows with rank (by 32-bit signal, ties to the lower asset), eligibility and average ranks for the IC."""
+def unpivoted(targets: DataFrame, signals: list[str], name: str = "formula", value: str = "signal") -> DataFrame:
+    """A row for each target row and signal, so that all signals are scored in one plan: columns `name` and `value`."""
+    kept = [c for c in targets.columns if c not in signals]
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias(name), F.col(s).cast("double").alias(value)) for s in signals])).alias("_x")
+    return targets.select(*kept, each).select(*kept, f"_x.{name}", f"_x.{value}")
+
+
+def ranked(targets: DataFrame, signal: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Target rows, of one signal or of each of `keys`, with rank (by 32-bit signal, ties to the lower asset), eligibility and average ranks for the IC."""
     value = F.col(signal).cast("float")
     rows = targets.withColumn("sig", F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value))
     ok = F.col("sig").isNotNull()
     return rows.withColumns(
         {
-            "rank": F.when(ok, F.row_number().over(by_day().orderBy(F.col("sig").desc_nulls_last(), "asset_idx"))),
-            "eligible_count": F.count("sig").over(by_day()),
-            "rank_sig": F.when(ok, average_rank(["t"], "sig", ok)),
-            "rank_ret": F.when(ok, average_rank(["t"], "fwd_ret", ok)),
+            "rank": F.when(ok, F.row_number().over(by_day(keys).orderBy(F.col("sig").desc_nulls_last(), "asset_idx"))),
+            "eligible_count": F.count("sig").over(by_day(keys)),
+            "rank_sig": F.when(ok, average_rank([*keys, "t"], "sig", ok)),
+            "rank_ret": F.when(ok, average_rank([*keys, "t"], "fwd_ret", ok)),
         }
     )
 
@@ -81,14 +88,14 @@ def average_rank(keys: list[str], value: str, ok: Column) -> Column:
 
 def correlation(a: str, b: str) -> Column:
     """Pearson's; NULL where one side does not vary, for which the built-in raises a division by zero in ANSI mode."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    return F.round(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)), DIGITS)
 
 
-def daily_scores(targets: DataFrame, signal: str, min_universe: int = 10) -> DataFrame:
-    """One row for each decision day: the mean return of the best `top_k`, its excess over the mean of all, and the IC."""
-    rows = ranked(targets, signal)
+def daily_scores(targets: DataFrame, signal: str, min_universe: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each decision day (of each of `keys`): the mean return of the best `top_k`, its excess over the mean of all, and the IC."""
+    rows = ranked(targets, signal, keys)
     chosen = F.col("rank") <= F.col("top_k")
-    out = rows.groupBy("t", "day").agg(
+    out = rows.groupBy(*keys, "t", "day").agg(
         F.first("available_count").alias("available_count"),
         F.first("eligible_count").alias("eligible_count"),
         F.first("top_k").alias("top_k"),
@@ -101,11 +108,11 @@ def daily_scores(targets: DataFrame, signal: str, min_universe: int = 10) -> Dat
     return out.withColumn("excess_return", F.col("absolute_return") - F.col("baseline_return"))
 
 
-def summary(daily: DataFrame) -> DataFrame:
-    """One row: a single day without enough eligible assets makes a signal invalid, at a reward of -5."""
+def summary(daily: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (for each of `keys`): a single day without enough eligible assets makes a signal invalid, at a reward of -5."""
     enough = F.coalesce(F.min(F.col("eligible_count") >= F.col("top_k")), F.lit(False))
     mean, std = F.avg("rank_ic"), F.stddev_pop("rank_ic")
-    return daily.agg(
+    return daily.groupBy(*keys).agg(
         enough.alias("valid"),
         F.count("*").alias("scorer_days"),
         F.when(enough, F.avg("excess_return")).otherwise(HARD).alias("reward"),
@@ -116,7 +123,7 @@ def summary(daily: DataFrame) -> DataFrame:
         F.when(enough, mean).alias("rank_ic_mean"),
         F.when(enough, std).alias("rank_ic_std"),
         F.when(enough & (std > 0), F.try_divide(mean, std)).alias("rank_ic_ir"),
-        F.when(enough, F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > NOISE).cast("double")))).alias("rank_ic_positive_rate"),
+        F.when(enough, F.avg(F.when(F.col("rank_ic").isNotNull(), (F.col("rank_ic") > 0).cast("double")))).alias("rank_ic_positive_rate"),
     )
 
 
@@ -194,10 +201,10 @@ def signal_quality(targets: DataFrame, signals: list[str], least_coverage: float
         .when(F.col("spread") <= 1e-12, "constant_signal")
         .otherwise("")
     )
-    return out.select("formula", "available", "finite", coverage.alias("coverage"), "spread", reason.alias("reason"))
+    out = out.select("formula", "available", "finite", coverage.alias("coverage"), "spread", reason.alias("reason"))
+    return out.withColumn("penalty", penalty(F.col("reason")))
 
 
-def rewards(quality: DataFrame) -> DataFrame:
+def penalty(reason: Column) -> Column:
     """Weak reasons cost -2, hard ones -5, none 0."""
-    weak = F.col("reason").isin("low_coverage", "constant_signal")
-    return quality.select("formula", "reason", F.when(F.col("reason") == "", 0.0).when(weak, WEAK).otherwise(HARD).alias("penalty"))
+    return F.when(reason == "", 0.0).when(reason.isin("low_coverage", "constant_signal"), WEAK).otherwise(HARD)

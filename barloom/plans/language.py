@@ -165,6 +165,8 @@ def opcodes(tree: tuple) -> list[int]:
     """Stack program: 0-39 factors, 40 and 41 constants, 42-47 operators, 48-53 REF, 54-58 MEAN by window."""
     name, *rest = tree
     if name == "CONST":
+        if rest[0] not in (0.0, 1.0):
+            raise FormulaError("unknown_instruction", f"no opcode for the constant {rest[0]:g}")
         return [40 + int(rest[0])]
     if name in ROLLING:
         at = (1, *factors.WINDOWS).index(rest[1]) if name == "REF" else factors.WINDOWS.index(rest[1])
@@ -174,6 +176,12 @@ def opcodes(tree: tuple) -> list[int]:
     return [factors.NAMES.index("_".join(map(str, tree)))]
 
 
+def shape(tree: tuple) -> tuple[int, int]:
+    """(nodes, depth) of a tree."""
+    below = [shape(r) for r in tree[1:] if isinstance(r, tuple)]
+    return 1 + sum(n for n, _ in below), 1 + max((d for _, d in below), default=0)
+
+
 def factor_names(tree: tuple) -> set[str]:
     name, *rest = tree
     if name in (*ROLLING, *UNARY, *BINARY):
@@ -182,56 +190,51 @@ def factor_names(tree: tuple) -> set[str]:
 
 
 def _height(tree: tuple) -> int:
+    """Operators on the longest way down."""
     below = max((_height(r) for r in tree[1:] if isinstance(r, tuple)), default=0)
-    return below + (tree[0] in ROLLING)
+    return below + (tree[0] in (*ROLLING, *UNARY, *BINARY))
 
 
 def plan(panel: DataFrame, formulas: dict[str, tuple]) -> DataFrame:
     """The panel with a column for each formula.
 
-    Equal subtrees are computed once. Columns are added in stages, one for each level of nested windows; all windows share
-    the panel's partitioning by asset, so the whole takes one shuffle.
+    Equal subtrees are computed once, all those of one height in one stage, so that expressions stay small however deep
+    formulas are. All windows share the panel's partitioning by asset: the whole takes one shuffle.
     """
     wanted = tuple(n for n in factors.NAMES if any(n in factor_names(t) for t in formulas.values()))
     out = factors.with_factors(panel, wanted)
-    names: dict[tuple, str] = {}
-
-    def value(tree: tuple) -> Column:
-        """The column of a subtree whose windows below are already there."""
-        if tree in names:
-            return F.col(names[tree])
-        name, *rest = tree
-        if name == "CONST":
-            return masked(F.lit(rest[0]))
-        if name in BINARY:
-            a, b = map(value, rest)
-            return masked(finite(a + b if name == "ADD" else a - b if name == "SUB" else a * b))
-        if name in UNARY:
-            a = value(rest[0])
-            return -a if name == "NEG" else F.abs(a) if name == "ABS" else F.signum(a)
-        return F.col("_".join(map(str, tree)))
-
-    rolling: dict[int, list[tuple]] = {}
+    levels: dict[int, dict[tuple, str]] = {}
 
     def visit(tree: tuple) -> None:
         for r in tree[1:]:
             if isinstance(r, tuple):
                 visit(r)
-        if tree[0] in ROLLING and tree not in rolling.setdefault(_height(tree), []):
-            rolling[_height(tree)].append(tree)
+        if height := _height(tree):
+            level = levels.setdefault(height, {})
+            level.setdefault(tree, f"__{height}_{len(level)}")
 
     for tree in formulas.values():
         visit(tree)
-    helpers: list[str] = []
-    for level in sorted(rolling):
-        inner = {t: f"__{level}_{i}" for i, t in enumerate(dict.fromkeys(t[1] for t in rolling[level]))}
-        out = out.withColumns({n: value(t) for t, n in inner.items()})
-        added = {t: f"__{level}_w{i}" for i, t in enumerate(rolling[level])}
-        out = out.withColumns({n: masked((lag if t[0] == "REF" else mean)(F.col(inner[t[1]]), t[2])) for t, n in added.items()})
-        names |= added
-        helpers += [*inner.values(), *added.values()]
-    out = out.withColumns({n: value(t) for n, t in formulas.items()})
-    return out.select(*panel.columns, *formulas)
+
+    def column(tree: tuple) -> Column:
+        """A subtree whose stage is done."""
+        if height := _height(tree):
+            return F.col(levels[height][tree])
+        return masked(F.lit(tree[1])) if tree[0] == "CONST" else F.col("_".join(map(str, tree)))
+
+    def value(tree: tuple) -> Column:
+        name, *rest = tree
+        if name in ROLLING:
+            return masked((lag if name == "REF" else mean)(column(rest[0]), rest[1]))
+        if name in UNARY:
+            a = column(rest[0])
+            return -a if name == "NEG" else F.abs(a) if name == "ABS" else F.signum(a)
+        a, b = map(column, rest)
+        return masked(finite(a + b if name == "ADD" else a - b if name == "SUB" else a * b))
+
+    for height in sorted(levels):
+        out = out.withColumns({n: value(t) for t, n in levels[height].items()})
+    return out.select(*panel.columns, *[column(t).alias(n) for n, t in formulas.items()])
 
 
 def generate(seed: int, count: int, longest: int = LONGEST) -> list[list[str]]:

@@ -12,6 +12,7 @@ from .functions import factors
 from .operators import adjustment, scoring
 from .plans import language
 from .sources import star
+from .sources.storage import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 FOUND: dict[str, Query] = {}
@@ -137,8 +138,7 @@ def formula_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _signal(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """Decision days with a column for each formula. Windows see the rows before the split."""
     planned = language.plan(star.brand_panel(spark, sf_dir), {n: tree(n) for n in names})
-    last = planned.agg(F.max("t")).first()[0] or 0
-    return scoring.forward_targets(planned, START, last, HORIZON)
+    return scoring.forward_targets(planned, START, None, HORIZON)
 
 
 @query(sql.FORWARD_TARGETS)
@@ -195,9 +195,7 @@ _QUALITY = {n: _VALUES[n] for n in ("clv_intraday", "reversal", "trend_sign", "t
 
 @query(sql.signal_quality(_QUALITY, _USED))
 def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scoring.signal_quality(_signal(spark, sf_dir, *_QUALITY), [*_QUALITY])
-    with_penalty = found.join(scoring.rewards(found).select("formula", "penalty"), "formula")
-    return rounded(with_penalty, "coverage", "spread")
+    return rounded(scoring.signal_quality(_signal(spark, sf_dir, *_QUALITY), [*_QUALITY]), "coverage", "spread")
 
 
 # Corporate events. The tables have none, so every 97th week of a brand gets one, of the category that its index deals.
@@ -206,7 +204,8 @@ def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _weeks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(bars, events) of the brand weeks."""
     c = F.col("asset_idx") % 4
-    found = star.brand_panel(spark, sf_dir).where("(t + 7 * asset_idx) % 97 = 0")
+    bars = kept(star.bars_brand_week(spark, sf_dir))
+    found = star.panel(bars, are_kept=True).where("(t + 7 * asset_idx) % 97 = 0")
     events = found.select(
         "symbol",
         F.date_add("day", (F.col("asset_idx") % 3).cast("int")).alias("date"),
@@ -216,12 +215,12 @@ def _weeks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.when(c == 0, 1.0).when(c == 1, 2.0).when(c == 2, 0.5).otherwise(0.0).alias("c3"),
         F.lit(1.0).alias("c4"),
     )
-    return star.bars_brand_week(spark, sf_dir), events
+    return bars, events
 
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bars, events = _weeks(spark, sf_dir)
-    audit = adjustment.event_audit(bars, events)
+    audit = kept(adjustment.event_audit(bars, events))
     return adjustment.adjusted_bars(bars, audit), audit
 
 
@@ -267,13 +266,17 @@ def relative_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(event_sql.RECONCILED_FLOW)
 def reconciled_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = star.brand_panel(spark, sf_dir).where("tradable and t % 5 <> 0")
+    bars = kept(star.bars_brand_week(spark, sf_dir))
+    panel = star.panel(bars, are_kept=True).where("tradable and t % 5 <> 0")
     flow = panel.select("symbol", "day", (F.col("volume") + 1).alias("vol"), F.when(F.col("t") % 7 != 0, F.round("amount", 4) / 2000).alias("amount"))
-    found = adjustment.reconcile_flow(rounded(star.bars_brand_week(spark, sf_dir), "amount", digits=4), flow)
+    found = adjustment.reconcile_flow(rounded(bars, "amount", digits=4), flow)
     out = found.select("symbol", "day", "volume", "amount", "flow_source", "tradable", "implied_price")
     return rounded(out, "volume", "amount", digits=4)  # a price that is rounded to a tie would differ between engines
 
 
+from . import market_queries  # noqa: E402,F401 - registers its queries, which use those above
+
+
 def queries() -> dict[str, Query]:
     return dict(FOUND)
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .storage import kept
+
 PRICES = ("open", "high", "low", "close")
 FIELDS = (*PRICES, "volume", "amount")
 
@@ -57,13 +59,20 @@ def calendar(bars: DataFrame) -> DataFrame:
     return bars.select("day").distinct().withColumn("t", (F.row_number().over(Window.orderBy("day")) - 1).cast("long"))
 
 
-def panel(bars: DataFrame) -> DataFrame:
+def last_t(bars: DataFrame) -> int:
+    """The position of the last day of the calendar, -1 without any."""
+    return bars.agg(F.countDistinct("day")).first()[0] - 1
+
+
+def panel(bars: DataFrame, are_kept: bool = False) -> DataFrame:
     """The dense grid of universe and calendar with the bars on it; cells without a trade have NULL prices.
 
-    Every asset unfolds into the positions of the calendar, whose length is one number, and days come by an equi join.
+    Every asset unfolds into the positions of the calendar, whose length is one number, and days come by an equi join. Bars
+    are computed once and kept, since universe, calendar and cells all come from them.
     """
+    bars = bars if are_kept else kept(bars)
     days = calendar(bars)
-    last = days.count() - 1
+    last = last_t(bars)
     grid = universe(bars).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(last))) if last >= 0 else F.lit(0))
     grid = grid.withColumn("t", F.col("t").cast("long")).join(days, "t")
     placed = grid.join(bars, ["symbol", "day"], "left").withColumn("tradable", tradable())

@@ -148,7 +148,7 @@ daily AS (
     avg(fwd_ret) FILTER (rk <= top_k) AS absolute_return, min(baseline_ret) AS baseline_return,
     coalesce(string_agg(CAST(asset_idx AS VARCHAR), ';' ORDER BY rk) FILTER (rk <= top_k), '') AS selected,
     max(coalesce(sell_t, -1)) FILTER (rk <= top_k) AS last_exit,
-    CASE WHEN min(eligible_count) >= 10 AND stddev_pop(rank_sig) > 0 AND stddev_pop(rank_ret) > 0 THEN corr(rank_sig, rank_ret) END AS rank_ic
+    CASE WHEN min(eligible_count) >= 10 AND stddev_pop(rank_sig) > 0 AND stddev_pop(rank_ret) > 0 THEN round(corr(rank_sig, rank_ret), 12) END AS rank_ic
   FROM ranks GROUP BY t, day
 )"""
 
@@ -172,7 +172,7 @@ def score_summary(factors_used: tuple[str, ...], signal: str) -> str:
     return f"""{scored(factors_used, signal)},
 s AS (SELECT coalesce(bool_and(eligible_count >= top_k), false) AS valid, count(*) AS scorer_days, avg(absolute_return - baseline_return) AS excess, avg(absolute_return) AS a,
   median(absolute_return) AS m, avg(CASE WHEN absolute_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS h, avg(baseline_return) AS b, avg(rank_ic) AS im, stddev_pop(rank_ic) AS isd,
-  avg(CASE WHEN rank_ic > 1e-12 THEN 1.0::DOUBLE WHEN rank_ic IS NOT NULL THEN 0.0::DOUBLE END) AS ip FROM daily)
+  avg(CASE WHEN rank_ic > 0 THEN 1.0::DOUBLE WHEN rank_ic IS NOT NULL THEN 0.0::DOUBLE END) AS ip FROM daily)
 SELECT valid, scorer_days, round(CASE WHEN valid THEN excess ELSE -5.0::DOUBLE END, 8) + 0.0 AS reward, round(CASE WHEN valid THEN a END, 8) + 0.0 AS mean_absolute_return,
   round(CASE WHEN valid THEN m END, 8) + 0.0 AS median_absolute_return, round(CASE WHEN valid THEN h END, 8) + 0.0 AS absolute_hit_rate, round(CASE WHEN valid THEN b END, 8) + 0.0 AS mean_baseline_return,
   round(CASE WHEN valid THEN im END, 8) + 0.0 AS rank_ic_mean, round(CASE WHEN valid THEN isd END, 8) + 0.0 AS rank_ic_std, round(CASE WHEN valid AND isd > 0 THEN im / isd END, 6) + 0.0 AS rank_ic_ir,
