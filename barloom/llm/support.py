@@ -54,7 +54,8 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFram
     held = F.struct(*names).alias("_held")
     hot = right.where(F.col("n") * HOT > rows).select(key, held)  # fewer than HOT rows
     marked = left.join(F.broadcast(hot), key, "left")
-    rest = marked.where("_held is null").drop("_held").join(right.select(key, held), key)
+    # Not broadcast at any size: the driver would have to hold `right`.
+    rest = marked.where("_held is null").drop("_held").join(right.select(key, held).hint("merge"), key)
     both = marked.where("_held is not null").unionByName(rest)
     return both.select(*left.columns, *[F.col("_held")[c].alias(c) for c in names])
 
