@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Scores are multiples of 1 / GRID.
 GRID = 1 << 20
 #: Spans of one generation that a worker keeps, of at most CACHED_LENGTH characters each, and those whose N best it keeps.
-CACHED, CACHED_LENGTH, SEVERAL = 150_000, 32, 20_000
+CACHED, CACHED_LENGTH, SEVERAL = 100_000, 32, 20_000
 
 
 def zipf(rank: float, n: int) -> float:
