@@ -96,6 +96,10 @@ class Kernel:
             norm = sum(x * x for x in v.values()) ** 0.5 or 1.0
             for k, x in v.items():
                 self.table[self.row[k], j] = x / norm
+        #: The table's values that are not zero, row by row: where a row's begin, its landmarks and values.
+        filled, self.columns = np.nonzero(self.table)
+        self.filled = self.table[filled, self.columns].astype(np.float64)
+        self.begins = np.searchsorted(filled, np.arange(len(self.table) + 1))
         #: The most that a subsequence can add to any landmark's value.
         self.most = self.table.max(axis=1, initial=0)[self.row]
 
@@ -112,6 +116,14 @@ class Kernel:
             self.steps[n] = at, (DECAY ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
         return self.steps[n]
 
+    def _sums(self, n: int, word: np.ndarray, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """[n, landmarks]: by word, the rows of the table times their weights; most landmarks share none of a subsequence."""
+        counts = self.begins[row + 1] - self.begins[row]
+        at = np.arange(counts.sum()) + np.repeat(self.begins[row] - (np.cumsum(counts) - counts), counts)
+        cells = np.repeat(word * len(self.landmarks), counts) + self.columns[at]
+        found = np.bincount(cells, self.filled[at] * np.repeat(weight, counts), n * len(self.landmarks))
+        return found.astype(np.float32).reshape(n, len(self.landmarks))
+
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words with any value, their values: float32 [words, landmarks])."""
         coded, by_length, who, values = [*map(symbols, words)], {}, [], []
@@ -131,8 +143,7 @@ class Kernel:
                     continue
                 known = self.row[keys[near]]
                 r, c = np.nonzero(known)
-                starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                got = np.add.reduceat(self.table[known[r, c]] * weight[c][:, None], starts, axis=0)
+                got = self._sums(len(near), r, known[r, c], weight[c])
                 far = got.max(axis=1) < LEAST * np.sqrt((weight * weight).sum())
                 part, keys, got = part[near][~far], keys[near][~far], got[~far]
                 if not len(part):
