@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
         return found
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):  # local-cluster has executors of its own
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
     return context._jsc.sc().getCheckpointDir().get()
