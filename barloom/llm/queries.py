@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_count, decontam, fingerprint, linededup, pieces, quality, shards, simhash, tokenfile, toxicity
+from . import ballmeans, bpe_count, decontam, fingerprint, linededup, oracles, pieces, quality, riskrules, segmentcodes, shards, simhash, tokenfile, toxicity
 from .support import table
 
 #: Words as the operator has them, windows by position, and the words that occurrences of windows cover.
@@ -92,9 +92,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ballmeans.clusters(table(spark, sf_dir, "embeddings"), 40, 5, scale=256, dims=64, seed=2)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentcodes.codes(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = riskrules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.fillna(-1, ["tolerance"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": LINE_DEDUP, "op7_benchmark_decontamination": DECONTAMINATION}
+    return {"op5_line_dedup": LINE_DEDUP, "op7_benchmark_decontamination": DECONTAMINATION} | {
+        "op11_centroid_clustering": oracles.ball_means(),
+        "op12_vector_codes": oracles.segment_codes(),
+        "op13_quality_rules": oracles.risk_rules(),
+    }
