@@ -3,9 +3,9 @@
 A line's key is hashed to 128 bits. The state is a table (key, n_docs): in how many documents a key occurs. Documents
 are inserted by adding their counts and deleted by subtracting them, in any order, so the state after a deletion is the
 state without the document. Keys at or above a threshold are frequent; each shard of them has a cuckoo filter, which
-takes insertions and deletions as keys cross the threshold, and the sorted keys themselves. A line goes to the filter of
-its key's shard and, only if that says yes, on to the exact keys. Keys that are in a large part of all documents are few,
-whatever the input; tasks have them at hand, so that their lines need not move.
+takes insertions and deletions as keys cross the threshold, and the sorted keys themselves. Every line goes to the filter
+of its key's shard and, only if that says yes, on to the exact keys there. A shard whose keys have many lines is there
+several times, and its lines are dealt out to the copies by document.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .support import HOT, cut, mapped
+from .support import mapped, named, stored
 
 BLANK = b" \t\n\x0b\x0c\r"
 #: Keys of a shard at most, on average.
 SHARD_KEYS = 1 << 16
+#: Groups of lines for each shuffle partition, about.
+GROUPS = 8
 
 
 def lines_of(text: str | None) -> list[bytes]:
@@ -113,7 +115,7 @@ class CuckooFilter:
 def line_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, n_docs) of the lines in `docs`: a key counts once for each row it occurs in. Empty keys have none."""
     of = mapped(lambda texts: [sorted({*map(digest_of, lines_of(t))} - {b""}) for t in texts], pa.list_(pa.binary()), "array<binary>")
-    return docs.select(F.explode(of(F.col(text_col))).alias("key")).groupBy("key").agg(F.count("*").alias("n_docs"))
+    return docs.select(F.explode(of(named(text_col))).alias("key")).groupBy("key").agg(F.count("*").alias("n_docs"))
 
 
 def inserted(counts: DataFrame, docs: DataFrame, text_col: str = "text", sign: int = 1) -> DataFrame:
@@ -168,34 +170,54 @@ def refresh_filters(filters: DataFrame, before: DataFrame, after: DataFrame, lea
     return filters.groupBy("shard").cogroup(moves.groupBy("shard")).applyInArrow(move, FILTERS)
 
 
-def maybe_frequent(lines: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
-    """The rows of `lines` (id, key) whose shard's filter says yes: a stream through each shard, behind its filter."""
+def spread(counts: DataFrame, least: int, shards: int, groups: int) -> DataFrame:
+    """(shard, copies) of the shards that need more than one copy of their filter, fewer than `groups` rows: a shard gets
+    one for each part of 1 / `groups` of all frequent lines that its keys have, so that a hot key is in many."""
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
-    line = lines.select(shard, F.col("key"), "id", F.lit(None).cast("binary").alias("tags"))
-    kind = line.schema["id"].dataType
-    first = filters.select("shard", F.lit(None).cast("binary").alias("key"), F.lit(None).cast(kind).alias("id"), "tags")
+    frequent = counts.where(F.col("n_docs") >= least)
+    total = frequent.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    loads = frequent.groupBy(shard).agg(F.sum("n_docs").alias("load")).where(F.col("load") * groups > total)
+    return loads.select("shard", F.ceil(F.col("load") * groups / max(1, total)).cast("int").alias("copies"))
+
+
+def frequent_lines(lines: DataFrame, filters: DataFrame, copies: DataFrame, shards: int, exact: bool = True) -> DataFrame:
+    """The rows of `lines` (id, key) with a frequent key: a stream through each shard behind its cuckoo filter, and what
+    the filter lets pass is looked up among the shard's keys (with `exact` false it is returned as it is).
+
+    copies: as `spread`. A line goes to the copy that a hash of its id names, so the lines of a hot key are dealt out.
+    """
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    n = F.coalesce("copies", F.lit(1))
+    few = F.broadcast(copies)  # fewer rows than the groups that `spread` was given
+    kind = lines.schema["id"].dataType
+    nothing = [F.lit(None).cast("binary").alias(c) for c in ("tags", "keys")]
+    line = lines.select(shard, "id", "key").join(few, "shard", "left").select("shard", F.pmod(F.xxhash64("id"), n).cast("int").alias("copy"), "id", "key", *nothing)
+    first = filters.join(few, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), n - 1)).alias("copy"), F.lit(None).cast(kind).alias("id"), F.lit(None).cast("binary").alias("key"), "tags", "keys")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, None
+        current, held, known = None, None, frozenset()
         for batch in batches:
-            shard = batch["shard"].to_numpy()
-            at = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
+            at = batch["shard"].to_numpy().astype(np.int64) << 32 | batch["copy"].to_numpy()
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]])
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist()):
                 if i == j:
                     continue
                 part = batch.slice(i, j - i)
-                if shard[i] != current:
-                    current, held = shard[i], None
-                for tags in part["tags"].drop_null().to_pylist():
-                    held = CuckooFilter(0, np.frombuffer(tags, np.uint16))
+                if at[i] != current:
+                    current, held = at[i], None
+                for r in part.filter(part["tags"].is_valid()).to_pylist():
+                    held = CuckooFilter(0, np.frombuffer(r["tags"], np.uint16))
+                    known = frozenset(r["keys"][k : k + 16] for k in range(0, len(r["keys"]), 16))
                 part = part.filter(part["key"].is_valid())
                 if held is None or not part.num_rows:
                     continue
-                yes = held.contains(part["key"].to_pylist())
-                yield part.filter(pa.array(yes)).select(["id", "key"])
+                keys = part["key"].to_pylist()
+                yes = [bool(y) and (not exact or k in known) for y, k in zip(held.contains(keys), keys)]
+                yield part.filter(pa.array(yes, pa.bool_())).select(["id", "key"])
 
-    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = line.unionByName(first).repartition(parts, "shard").sortWithinPartitions("shard", F.col("key").isNotNull())
+    place = ["shard", "copy"]
+    both = line.unionByName(first).repartition(parts, *place).sortWithinPartitions(*place, F.col("key").isNotNull())
     out = StructType([StructField("id", kind), StructField("key", BinaryType())])
     return both.mapInArrow(probe, out)
 
@@ -212,30 +234,25 @@ def _without(lines: list[bytes], digests: list[bytes], gone: set[bytes]) -> dict
 def with_kept_lines(docs: DataFrame, counts: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row: all of `docs`' columns, kept: n_lines, n_dropped and the text without lines that `counts` has as frequent).
 
-    The digests of a document's lines meet the filters of their shards, those that pass meet the exact keys, and what is
-    frequent comes back to the documents by id. Fewer than HOT keys, each with more than 1 / HOT of all frequent lines,
-    are known to every task instead. Rows that share an id share what comes back, which harms nothing.
+    The digests of a document's lines meet the filters of their shards, those that pass the shards' exact keys, and what
+    is frequent comes back to the documents by id. Rows that share an id share what comes back, which harms nothing.
     """
-    frequent = cut(counts.where(F.col("n_docs") >= least).select("key", "n_docs"))
-    n, total = frequent.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
-    is_hot = F.col("n_docs") * HOT > total
-    hot = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]) for r in frequent.where(is_hot).collect()})  # fewer than HOT
-    cold = frequent.where(~is_hot)
-    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // SHARD_KEYS))
-    of = mapped(lambda texts: [[*({*map(digest_of, lines_of(t))} - {b""} - hot.value)] for t in texts], pa.list_(pa.binary()), "array<binary>")
-    lines = docs.select(docs[id_col].alias("id"), F.explode(of(docs[text_col])).alias("key"))
-    passed = maybe_frequent(lines, build_filters(cold, least, shards), shards)
-    gone = passed.join(cold.select("key"), "key", "left_semi").groupBy("id").agg(F.collect_set("key").alias("gone"))
+    frequent, _ = stored(counts.where(F.col("n_docs") >= least).select("key", "n_docs"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(parts, -(-frequent.count() // SHARD_KEYS))
+    of = mapped(lambda texts: [[*({*map(digest_of, lines_of(t))} - {b""})] for t in texts], pa.list_(pa.binary()), "array<binary>")
+    lines = docs.select(named(id_col).alias("id"), F.explode(of(named(text_col))).alias("key"))
+    found = frequent_lines(lines, build_filters(frequent, least, shards), spread(frequent, least, shards, GROUPS * parts), shards)
+    gone = found.groupBy("id").agg(F.collect_set("key").alias("gone"))
 
     def drop_some(rows: list) -> list:
-        out, always = [], hot.value
+        out = []
         for r in rows:
             lines = lines_of(r["t"])
-            digests = [*map(digest_of, lines)]
-            out.append(_without(lines, digests, always.intersection(digests) | {*(r["g"] or [])}))
+            out.append(_without(lines, [*map(digest_of, lines)] if r["g"] else [], {*(r["g"] or [])}))
         return out
 
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("own"), docs[text_col].alias("text"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(id_col).alias("own"), named(text_col).alias("text"))
     joined = rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left")
     both = F.struct(F.col("text").alias("t"), F.col("gone").alias("g"))
     return joined.select("row", mapped(drop_some, DROPPED, DROPPED_DDL)(both).alias("kept"))
@@ -248,7 +265,7 @@ def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_c
     in order. Lines with an empty key always stay. Null and empty texts are one empty line. Null ids and repeated rows
     are returned as they came, and repeated rows count as documents of their own. Other columns are left out.
     """
-    bare = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    bare = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"))
     counts = line_counts(bare) if counts is None else counts
     found = with_kept_lines(bare, counts, least)
     return found.select("row.doc_id", "kept.n_lines", "kept.n_dropped", F.sha2(F.col("kept.kept"), 256).alias("kept_sha256"), "kept.kept")
@@ -258,5 +275,5 @@ def drop_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_co
     """`docs`, with all rows and columns, without frequent lines in the text. Null texts stay null, null ids and repeated
     rows stay as they are, an empty table stays empty, and columns may have any names."""
     found = with_kept_lines(docs, line_counts(docs, text_col), least, id_col, text_col)
-    kept: Column = F.when(F.col(f"row.`{text_col}`").isNotNull(), F.col("kept.kept"))
-    return found.select(*[(kept if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    kept: Column = F.when(F.col("row")[text_col].isNotNull(), F.col("kept.kept"))
+    return found.select(*[(kept if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

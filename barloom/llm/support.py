@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its name as a whole, whatever signs the name has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and kept in the shared folder, so that lost executors cost nothing."""
     shared_folder(df.sparkSession)
