@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import built, cut, mapped
+from .support import built, cut, mapped, named
 
 #: Letters, digits and everything beyond ASCII, as UTF-8 after A-Z are lower-cased.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -143,7 +143,7 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col:
 def _scanned(docs: DataFrame, benchmark: DataFrame, n: int, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
     """(row: all of `docs`' columns, text, __found) of every row; further blocks of windows take further passes, each
     behind a checkpoint."""
-    docs = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    docs = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(text_col).alias("text"))
     text_col = "text"
     passes = scan_benchmark(docs, benchmark, n, text_col, item_col, item_text_col, block_bytes)
     _, column = next(passes)

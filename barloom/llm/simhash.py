@@ -16,11 +16,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .support import cut, join_hot, mapped
+from .support import join_hot, mapped, named, stored
 
 BITS = 64
 
@@ -50,7 +50,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; null texts have fingerprint 0."""
     of = mapped(lambda texts: [fingerprint(t, words) for t in texts], pa.int64(), "long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), of(F.col(text_col)).alias("fp"))
+    return docs.select(named(id_col).cast("long").alias("doc_id"), of(named(text_col)).alias("fp"))
 
 
 def _visiting(fps: DataFrame, width: int) -> DataFrame:
@@ -83,10 +83,8 @@ def links(fps: DataFrame, width: int = 4) -> DataFrame:
     width: bits of a segment. Every link joins fingerprints that are at most 2 bits apart.
     """
     n = BITS // width
-    visiting = _visiting(fps, width)
-    shared = cut(visiting.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"))
-    # Every fingerprint visits 33 cells at most, so hot cells among the visits are few too.
-    met = join_hot(visiting, shared, "cell", shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # Fingerprints are distinct here, and of 64 random bits one in six million has the commonest cell, so no cell is hot.
+    met = _visiting(fps, width).withColumn("n", F.count("*").over(Window.partitionBy("cell"))).where("n > 1")
     #: In the cell that segment (k - 1) % n leads to, lie the words with one bit of that segment set or cleared.
     flipped = f"transform(sequence(0, {width - 1}), j -> fp ^ shiftleft(1L, cast((k - 1) % {n} * {width} + j as int)))"
     there = f"filter({flipped}, w -> bit_count(w) - bit_count(fp) = if(k <= {n}, 1, -1))"
@@ -101,9 +99,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents with at most 2 differing bits are linked; component_id is the smallest doc_id that links lead to. Null and
     empty texts have fingerprint zero and are linked like others. Rows with a null id keep their fingerprint and get the
     smallest id that is not null, if there is one. Repeated rows are returned as often as they came. An empty table gives
-    an empty one; other columns of `docs` are left out, whatever their names.
+    an empty one; other columns of `docs` are left out, whatever their names. Ids are long or can be cast to it.
     """
-    fps = cut(fingerprints(docs, id_col, text_col, words))
+    fps, _ = stored(fingerprints(docs, id_col, text_col, words))
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     classes = components(links(fps, width))
     joined = first.join(classes, first.fp == classes.node, "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("class"))
