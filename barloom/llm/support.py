@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,10 +97,20 @@ def built(make: Callable, source):
     same = _built[0] is make and (_built[1] is source or (isinstance(source, bytes) and _built[1] == source))
     if not same:
         _built[:] = None, None, None
+        _give_back()
         _built[:] = make, source, make(source)
     return _built[2]
 
 
+def _give_back() -> None:
+    """Memory that this worker no longer uses goes back to the system, which otherwise counts it on for the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.Array, size: int = 4 << 20) -> Iterator[list]:
     """`batch` as lists of values, each of about `size` bytes or of one value."""
     start, n = 0, len(batch)
