@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe_count, decontam, fingerprint, linededup, pieces, quality, shards, simhash, support, tokenfile, toxicity
+from barloom.llm import bpe_count, components, decontam, fingerprint, linededup, minhash, pieces, quality, shards, simhash, support, tokenfile, toxicity
 
 public = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, fp string, key string, shard int, __id long, label int"
@@ -57,6 +58,14 @@ def test_simhash_links_equal_all_pairs(spark, width):
     want = [_fingerprint(t) for t in texts]
     found = rows(simhash.near_duplicates(frame(spark, texts), width=width))
     assert [found[i]["fingerprint"] for i in range(len(texts))] == [f"{w:016x}" for w in want]
+    near = {i: {j for j, v in enumerate(want) if (v ^ w).bit_count() <= 2} for i, w in enumerate(want)}
+    for i in near:  # component_id is the smallest id that links lead to
+        reached, new = {i}, {i}
+        while new:
+            new = set().union(*(near[j] for j in new)) - reached
+            reached |= new
+        assert found[i]["component_id"] == min(reached)
+    assert len({r["component_id"] for r in found.values()}) < len({*want})
     prints = [rng.getrandbits(64) for _ in range(60)] + [0, 2**64 - 1]
     for _ in range(150):
         p = rng.choice(prints)
@@ -74,15 +83,41 @@ def test_simhash_links_equal_all_pairs(spark, width):
         for b in prints:
             if (a ^ b).bit_count() <= 2:
                 root[max(top(a), top(b))] = min(top(a), top(b))
-    from barloom.llm.components import components
-
     signed = lambda p: p - (1 << 64) if p >> 63 else p
     links = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), width)
-    classes = {r["node"]: r["component"] for r in components(links).collect()}
+    classes = {r["node"]: r["component"] for r in components.components(links).collect()}
     group = lambda of: {frozenset(q for q in {*prints} if of(q) == of(p)) for p in prints}
     assert group(top) == group(lambda p: classes.get(signed(p), signed(p)))
 
 
+@pytest.mark.parametrize("shape", ["chain", "hub", "random", "stars", "none"])
+def test_components(spark, shape):
+    rng = random.Random(6)
+    nodes = rng.sample(range(-1000, 1000), 200)
+    links = {
+        "chain": [*zip(nodes, nodes[1:])],
+        "hub": [(nodes[0], n) for n in nodes[1:]] + [(nodes[7], 5000), (5000, 5001)],
+        "random": [tuple(rng.choices(nodes, k=2)) for _ in range(150)] + [(3, 3), (None, 4), (4, None)],
+        "stars": [(b, n) for b in (-5000, -4000) for n in nodes[:3]][:4],
+        "none": [],
+    }[shape]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links * 2, "a long, b long")).collect()}
+    near = {}
+    for a, b in links:
+        if a is not None and b is not None:
+            near.setdefault(a, {a}).add(b)
+            near.setdefault(b, {b}).add(a)
+    want = {}
+    for n in near:
+        reached, new = {n}, {n}
+        while new:
+            new = set().union(*(near[m] for m in new)) - reached
+            reached |= new
+        if min(reached) != n:
+            want[n] = min(reached)
+    assert found == want
+
+
 def test_simhash_empty_table(spark):
     assert simhash.near_duplicates(frame(spark, []).where("false")).count() == 0
 
@@ -183,9 +218,10 @@ def _dropped(texts, least):
     return [(len(lines), [line for line in lines if not key(line) or count[key(line)] < least]) for lines in split]
 
 
-@pytest.mark.parametrize("hot", [10_000, 3])
-def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(linededup, "HOT", hot)
+@pytest.mark.parametrize(("shard_keys", "groups"), [(1 << 16, 8), (1, 8), (2, 100)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, shard_keys, groups):
+    monkeypatch.setattr(linededup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(linededup, "GROUPS", groups)
     rng = random.Random(2)
     texts = ["\n".join(rng.choice(["Buy now", " buy NOW\t", f"own {i}", "", "rare", "ÄÖ", "äö"]) for _ in range(rng.randint(0, 9))) for i in range(60)] + ODD
     found = rows(linededup.dedup_lines(frame(spark, texts), 10))
@@ -194,6 +230,53 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, hot):
         assert found[i]["kept_sha256"] == hashlib.sha256("\n".join(kept).encode()).hexdigest()
 
 
+def test_every_dropped_line_has_passed_a_filter(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = linededup.line_counts(docs).cache()
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    lines = docs.select(F.col("doc_id").alias("id"), F.explode(split).alias("line"))
+    of = support.mapped(lambda xs: [linededup.digest_of(x.encode()) for x in xs], pa.binary(), "binary")
+    lines = lines.select("id", of("line").alias("key")).where("length(key) > 0").distinct().cache()
+    for shards in (1, 5):
+        filters, copies = linededup.build_filters(counts, 3, shards), linededup.spread(counts, 3, shards, 16)
+        assert sum(r["copies"] for r in copies.collect()) > shards  # frequent lines are dealt out
+        held = {bytes(r["keys"])[i : i + 16] for r in filters.collect() for i in range(0, len(r["keys"]), 16)}
+        assert held == {bytes(r["key"]) for r in counts.where("n_docs >= 3").collect()}  # all frequent keys are in filters
+        as_set = lambda exact: {(r["id"], bytes(r["key"])) for r in linededup.frequent_lines(lines, filters, copies, shards, exact).collect()}  # noqa: B023, E731
+        passed, found = as_set(False), as_set(True)
+        want = {(r["id"], bytes(r["key"])) for r in lines.collect() if bytes(r["key"]) in held}
+        assert found == want and want <= passed and 0 < len(found) < lines.count()
+
+
+def test_lines_after_a_deletion(spark):
+    """Documents inserted and deleted again leave no trace in what is dropped."""
+    texts = ["Shared\nown a", "shared \nown b", "Other\nown c", "other\nown d"]
+    first, second = frame(spark, texts), frame(spark, ["SHARED\nx", "shared", "other"], [10, 11, 12])
+    before = linededup.line_counts(first)
+    both = linededup.inserted(before, second)
+    kept = lambda counts: {i: r["kept"] for i, r in rows(linededup.dedup_lines(first, 3, counts=counts)).items()}
+    assert kept(both) == {0: "own a", 1: "own b", 2: "own c", 3: "own d"}
+    assert kept(linededup.deleted(both, second)) == kept(before) == dict(enumerate(texts))
+
+
+def test_columns_with_dots(spark):
+    docs = spark.createDataFrame([(i, "Same line\nand more words than five here " + "x " * i, "v", None) for i in range(12)], "doc_id long, text string, `a.b` string, `c``d` int")
+    item = spark.createDataFrame([(1, "and more words than five here x x x x")], "item_id int, text string")
+    for found in (linededup.drop_lines(docs, 10), minhash.drop_near_duplicates(docs), decontam.remove_documents(docs, item, 10)):
+        assert found.columns == docs.columns and 0 < found.where("`a.b` = 'v'").count() <= 12
+
+
+def test_empty_tables(spark):
+    none, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    item = spark.createDataFrame([], "item_id int, text string")
+    found = [
+        pieces.encodings(none, "piece_bpe_32k.model", 4), bpe_count.token_counts(none, "byte_bpe_50k.json", 1024), fingerprint.fingerprint_pairs(none), linededup.dedup_lines(none, 10),
+        decontam.contamination(none, item, 10), tokenfile.token_file(none, "word_bpe_49k.json", 2), linededup.drop_lines(none, 10), minhash.drop_near_duplicates(none), minhash.near_duplicates(none),
+        decontam.remove_documents(none, item, 10), quality.quality(none, quality.train(none, labels)),
+    ]
+    assert all(df.collect() == [] for df in found)
+
+
 def test_line_counts_are_reversible(spark):
     first, second = frame(spark, ["a\nb", "a", "c\na"]), frame(spark, ["a\nb", "d"])
     state = linededup.line_counts(first)
