@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .operators import candidates, inventory, reports, scoring
+from .operators import candidates, inventory, reports, scans, scoring
 from .plans import language
 from .queries import _VALUES, FORMULAS, HORIZON, START, _signal, query, rounded, tree
-from .sources import star, vendor
+from .sources import manifest, star, vendor
 from .sources.storage import kept
 
 # Vendor rows. The tables have none, so the brands' weekly bars are written as text, with faults on certain days of a year.
@@ -147,13 +147,14 @@ PATTERNS = {"excluded": ("cold", "red"), "review": ("small", "blue"), "allowed":
 
 def _inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, parts = star.table(spark, sf_dir, "lineitem"), star.table(spark, sf_dir, "part")
-    days = kept(lines.select(F.col("l_partkey").alias("code"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("day"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("volume"), F.try_divide("l_extendedprice", "l_quantity").alias("close")))
-    spans = days.groupBy("code").agg(F.min("day.l_shipdate").cast("date").alias("listed"), F.max("day.l_shipdate").cast("date").alias("last"))
+    days = lines.select(F.col("l_partkey").alias("code"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("day"), F.col("l_extendedprice").alias("amount"), F.col("l_quantity").alias("volume"), F.try_divide("l_extendedprice", "l_quantity").alias("close"))
+    liquid = kept(inventory.liquidity(days))  # a row for each product
+    spans = liquid.select("code", F.col("first_day.l_shipdate").cast("date").alias("listed"), F.col("last_day.l_shipdate").cast("date").alias("last"))
     code = F.col("p_partkey").alias("code")
     products = parts.select(code, F.col("p_name").alias("name"), F.concat("p_brand", F.lit(" - "), "p_type", F.lit(" (Return)")).alias("benchmark")).join(spans, "code", "left")
     products = products.withColumn("delisted", F.when(F.col("code") % 5 == 0, F.col("last"))).drop("last")
     shares = parts.where("p_partkey % 3 <> 0").select(code, F.col("p_size").alias("latest_share"))
-    return inventory.inventory(products, days, shares, AS_OF, aliases=ALIASES, **PATTERNS)
+    return inventory.inventory(products, liquid, shares, AS_OF, aliases=ALIASES, **PATTERNS)
 
 
 def _matches_sql(patterns: tuple[str, ...]) -> str:
@@ -245,8 +246,8 @@ def _summary_sql(by: str, year: str) -> str:
     return f"""{_CURVES},
 years AS (SELECT *{year} FROM curve),
 steps AS (SELECT *, coalesce(equity / lag(equity) OVER (PARTITION BY {by} ORDER BY t) - 1, 0) AS r, equity / max(equity) OVER (PARTITION BY {by} ORDER BY t) - 1 AS dd FROM years),
-s AS (SELECT {by}, count(*) AS days, arg_max(equity, t) / arg_min(equity, t) AS e, arg_max(bench, t) / arg_min(bench, t) AS b, avg(r) AS m, stddev_pop(r) AS sd, min(dd) AS dd FROM steps GROUP BY {by})
-SELECT {by}, days, round(e - 1, 6) + 0.0 AS total_return, round(pow(e, 252.0::DOUBLE / days) - 1, 6) + 0.0 AS annual_return, round(CASE WHEN sd > 0 THEN m / sd * sqrt(252.0::DOUBLE) END, 6) + 0.0 AS sharpe,
+s AS (SELECT {by}, count(*) AS days, count_if(r > 0) AS up_days, count_if(r < 0) AS down_days, arg_max(equity, t) / arg_min(equity, t) AS e, arg_max(bench, t) / arg_min(bench, t) AS b, avg(r) AS m, stddev_pop(r) AS sd, min(dd) AS dd FROM steps GROUP BY {by})
+SELECT {by}, days, up_days, down_days, round(e - 1, 6) + 0.0 AS total_return, round(pow(e, 252.0::DOUBLE / days) - 1, 6) + 0.0 AS annual_return, round(CASE WHEN sd > 0 THEN m / sd * sqrt(252.0::DOUBLE) END, 6) + 0.0 AS sharpe,
   round(dd, 6) + 0.0 AS max_drawdown, round(b - 1, 6) + 0.0 AS benchmark_total_return, round(pow(b, 252.0::DOUBLE / days) - 1, 6) + 0.0 AS benchmark_annual_return FROM s"""
 
 
@@ -298,14 +299,10 @@ def first_usable_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BATCH} SELECT formula, t, asset_idx, eligible_count - rk + 1 AS score FROM ranks WHERE rk IS NOT NULL")
 def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).where("rank is not null")
-    return rows.select("formula", "t", "asset_idx", (F.col("eligible_count") - F.col("rank") + 1).alias("score"))
+    return reports.rank_scores(_ranked(spark, sf_dir), ["formula"])
 
 
-# Candidates: random formulas of the grammar, some token lists that are none, and an early formula once more
-
-SEED, TRIED = 11, 50
-TOKEN_LISTS = [*language.generate(SEED, TRIED), ["CLV", "ADD"], ["WIN_5"], "CLV INTRADAY ADD".split(), "INTRADAY CLV ADD".split(), "CONST_1 CLV MUL".split(), ["CLV"], ["CONST_1"]]
+# Formulas in SQL
 
 
 def formula_ctes(trees: dict[str, tuple]) -> str:
@@ -350,110 +347,6 @@ def formula_ctes(trees: dict[str, tuple]) -> str:
     return ", ".join(out)
 
 
-TREES = candidates.formulas(TOKEN_LISTS)
-
-
-def _literal(x: str | None) -> str:
-    return "NULL" if x is None else f"'{x}'"
-
-
-_TRIED = ", ".join(f"({i}, '{' '.join(t)}', {len(t)}, '{d[0]}', {_literal(d[1])}, '{';'.join(d[3])}')" for i, (t, d) in enumerate((t, candidates.describe(t)) for t in TOKEN_LISTS))
-_USED = tuple(n for n in language.factors.NAMES if any(n in language.factor_names(t) for t in TREES.values()))
-_STATUS = f"""WITH {_batch_sql(sql.with_factors(sql.BRAND, _USED) + ', ' + formula_ctes(TREES), {n: n for n in TREES}, 'valued')},
-scored AS (
-  SELECT formula, avg(absolute_return - baseline_return) AS reward, coalesce(bool_and(eligible_count >= top_k), false) AS scorable, sha256(string_agg(CAST(t AS VARCHAR) || ':' || selected, '|' ORDER BY t)) AS selection_hash
-  FROM daily GROUP BY formula
-),
-cover AS (SELECT formula, count(*) AS available, count(s) AS finite FROM sig GROUP BY formula),
-spreads AS ({' UNION ALL '.join(f"SELECT '{n}' AS formula, stddev_pop({n}) AS spread FROM targets" for n in TREES)}),
-tried(attempt_index, tokens, token_len, reason, canonical_hash, factors) AS (VALUES {_TRIED}),
-flaws AS (
-  SELECT a.*, s.reward AS r, s.selection_hash, c.finite / c.available AS coverage,
-    CASE WHEN reason <> '' OR c.finite IS NULL OR c.finite = 0 THEN 'vm_invalid' WHEN NOT coalesce(scorable, false) THEN 'insufficient_daily_signal'
-      WHEN c.finite / c.available < 0.9::DOUBLE THEN 'low_coverage' WHEN spread <= 1e-12 THEN 'constant_signal' END AS flaw
-  FROM tried a LEFT JOIN scored s ON s.formula = 'f' || left(a.canonical_hash, 16) LEFT JOIN cover c ON c.formula = s.formula LEFT JOIN spreads p ON p.formula = s.formula
-),
-firsts AS (SELECT *, row_number() OVER (PARTITION BY canonical_hash, flaw IS NULL ORDER BY attempt_index) AS n FROM flaws),
-seconds AS (SELECT *, row_number() OVER (PARTITION BY selection_hash, flaw IS NULL AND n = 1 ORDER BY attempt_index) AS m FROM firsts),
-rows_ AS (SELECT *, coalesce(flaw, CASE WHEN n > 1 THEN 'canonical_duplicate' WHEN m > 1 THEN 'selection_duplicate' ELSE 'accepted_unique' END) AS status FROM seconds),
-attempts AS (SELECT *, round(CASE WHEN flaw IS NULL THEN r WHEN status IN ('constant_signal', 'low_coverage') THEN -2.0::DOUBLE ELSE -5.0::DOUBLE END, 8) + 0.0 AS reward, flaw IS NULL AS ok FROM rows_)"""
-
-
-_scored: dict[tuple[str, str], DataFrame] = {}
-
-
-def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The status of every attempt, with rewards rounded, so that ties in them don't depend on the order of sums.
-
-    A session scores the attempts on a folder's tables once and keeps the result, a row for each attempt, for all reports.
-    """
-    key = spark.sparkContext.applicationId, sf_dir
-    if key not in _scored:
-        _scored[key] = kept(_score_attempts(spark, sf_dir))
-    return _scored[key]
-
-
-def _score_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = language.plan(star.brand_panel(spark, sf_dir), TREES)
-    targets = kept(scoring.forward_targets(planned, START, None, HORIZON).select("t", "day", "asset_idx", "fwd_ret", "available_count", "top_k", "baseline_ret", "sell_t", *TREES))
-    found = candidates.resolved(candidates.attempts(spark, TOKEN_LISTS), candidates.scores(targets, [*TREES]))
-    return rounded(found, "reward")
-
-
-@query(f"{_STATUS} SELECT attempt_index, token_len, canonical_hash, status, reward, round(coverage, 8) + 0.0 AS coverage, CASE WHEN ok THEN selection_hash END AS selection_hash FROM attempts")
-def candidate_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.col("status").isin("canonical_duplicate", "selection_duplicate", "accepted_unique")
-    found = rounded(_attempts(spark, sf_dir), "coverage")
-    return found.select(F.col("attempt_index").cast("int"), "token_len", "canonical_hash", "status", "reward", "coverage", F.when(ok, F.col("selection_hash")).alias("selection_hash"))
-
-
-_BEST = f"""{_STATUS},
-best AS (SELECT canonical_hash, min(attempt_index) AS first_index, count(*) AS attempts, arg_min(token_len, (-reward, token_len, attempt_index)) AS token_len, arg_min(reward, (-reward, token_len, attempt_index)) AS reward FROM attempts WHERE ok GROUP BY canonical_hash)"""
-
-
-@query(f"{_BEST} SELECT * FROM best")
-def candidate_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.best_of_hash(_attempts(spark, sf_dir)).withColumn("first_index", F.col("first_index").cast("int"))
-
-
-@query(f"""{_BEST} SELECT canonical_hash, token_len, reward, CAST((token_len - 1) // 5 AS INTEGER) AS bucket, row_number() OVER (PARTITION BY (token_len - 1) // 5 ORDER BY reward DESC, token_len, canonical_hash) AS place FROM best QUALIFY place <= 5""")
-def candidate_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.buckets(candidates.best_of_hash(_attempts(spark, sf_dir)), 5).select("canonical_hash", "token_len", "reward", "bucket", "place")
-
-
-@query(f"""{_STATUS}, so AS (SELECT attempt_index, max(CASE WHEN ok THEN reward END) OVER (ORDER BY attempt_index) AS best_so_far FROM attempts)
-SELECT attempt_index, best_so_far, round(sum(coalesce(best_so_far, 0)) OVER (ORDER BY attempt_index) / (attempt_index + 1), 8) + 0.0 AS mean_best FROM so""")
-def candidate_running_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(candidates.running_best(_attempts(spark, sf_dir)), "mean_best").withColumn("attempt_index", F.col("attempt_index").cast("int"))
-
-
-_Q = [f"q{int(q * 100):02d}" for q in candidates.QUANTILES]
-
-
-@query(f"""{_STATUS} SELECT status, count(*) AS attempts, round(avg(reward), 8) + 0.0 AS mean, round(stddev_pop(reward), 8) + 0.0 AS spread, {', '.join(f'round(quantile_cont(reward, {q}), 8) + 0.0 AS {n}' for q, n in zip(candidates.QUANTILES, _Q))}
-FROM attempts GROUP BY status""")
-def candidate_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(candidates.reward_quantiles(_attempts(spark, sf_dir)), "mean", "spread", *_Q)
-
-
-@query(f"""{_STATUS} SELECT 'status' AS kind, status AS value, count(*) AS n FROM attempts GROUP BY status UNION ALL SELECT 'length', CAST(token_len AS VARCHAR), count(*) FROM attempts GROUP BY token_len
-UNION ALL SELECT 'token', token, count(*) FROM (SELECT unnest(string_split(tokens, ' ')) AS token FROM attempts) GROUP BY token""")
-def candidate_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candidates.histograms(_attempts(spark, sf_dir))
-
-
-@query(f"""{_STATUS} SELECT count(*) AS attempts, round(avg(CASE WHEN ok THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END), 8) + 0.0 AS invalid_rate, count(DISTINCT CASE WHEN ok THEN canonical_hash END) AS forms, max(CASE WHEN ok THEN reward END) AS best_reward,
-  round(avg(CASE WHEN ok THEN reward END), 8) + 0.0 AS mean_reward, round(corr(reward, token_len) FILTER (ok), 8) + 0.0 AS length_correlation FROM attempts""")
-def candidate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(candidates.search_summary(_attempts(spark, sf_dir)), "invalid_rate", "mean_reward", "length_correlation")
-
-
-@query(f"""{_STATUS} SELECT factor, count(*) AS formulas, round(avg(reward), 8) + 0.0 AS mean_reward, max(reward) AS best_reward FROM (SELECT unnest(string_split(factors, ';')) AS factor, reward FROM attempts WHERE status = 'accepted_unique' AND factors <> '')
-GROUP BY factor""")
-def candidate_factor_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(candidates.factor_usage(_attempts(spark, sf_dir)), "mean_reward")
-
-
 # Likeness of signals: formulas with ties, signs and missing values
 
 _PAIRED = ("clv_intraday", "reversal", "smooth_clv", "trend_sign")
@@ -479,3 +372,26 @@ def signal_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT formula, count_if(k >= 10) AS days, count_if(k >= 10) >= 252 AS sufficient FROM c GROUP BY formula""")
 def similarity_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.covered(_signal(spark, sf_dir, *_PAIRED), [*_PAIRED])
+
+
+# Reconciliation, order and digests
+
+
+@query(f"""{_VENDOR},
+b AS (SELECT coalesce(r.symbol, a.symbol) AS symbol, r.symbol IS NULL OR a.symbol IS NULL AS lone, {', '.join(f'abs(r.{p} - a.{p}) AS {p}' for p in _P)} FROM raw r FULL JOIN adjusted a ON a.symbol = r.symbol AND a.day = r.day),
+m AS (SELECT count_if(lone) AS unmatched, {', '.join(f'max({p}) AS {p}' for p in _P)} FROM b)
+{' UNION ALL '.join(f"SELECT '{p}' AS name, round({p}, 8) + 0.0 AS max_gap, unmatched FROM m" for p in _P)}""")
+def vendor_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(reports.largest_gaps(*_raw(spark, sf_dir), ["symbol", "day"], [*_P]), "max_gap")
+
+
+@query(f'{_INVENTORY} SELECT code, "group", rank_in_group, row_number() OVER (ORDER BY scope, "group", rank_in_group, code DESC) - 1 AS place FROM inventory')
+def inventory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scans.numbered(_inventory(spark, sf_dir), [F.col("scope"), F.col("group"), F.col("rank_in_group"), F.col("code").desc()], "place")
+    return found.select("code", "group", "rank_in_group", "place")
+
+
+@query("""SELECT s_suppkey, sha256('{"s_acctbal":' || CAST(CAST(s_acctbal * 100 AS BIGINT) AS VARCHAR) || ',"s_name":"' || s_name || '","s_nationkey":' || s_nationkey || ',"s_suppkey":' || s_suppkey || '}') AS digest FROM supplier""")
+def row_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = star.table(spark, sf_dir, "supplier").withColumn("s_acctbal", F.round(F.col("s_acctbal") * 100).cast("long"))
+    return rows.select("s_suppkey", manifest.json_digest(["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]).alias("digest"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
+from . import scans
+
 CANDIDATE, EXCLUDED, REVIEW = "candidate", "exclude", "review"
 
 
@@ -35,18 +38,27 @@ def normalised(text: Column, aliases: dict[str, str] | None = None) -> Column:
 
 
 def liquidity(days: DataFrame) -> DataFrame:
-    """Of rows (code, day, amount, volume, close): observations, mean and median amount, mean volume and the last close."""
-    return days.groupBy("code").agg(
-        F.count("*").alias("observations"), F.avg("amount").alias("avg_amount"), F.median("amount").alias("median_amount"), F.avg("volume").alias("avg_volume"), F.max_by("close", "day").alias("latest_close")
-    )
-
-
-def inventory(products: DataFrame, days: DataFrame, shares: DataFrame, as_of: str, excluded: tuple[str, ...], review: tuple[str, ...], allowed: tuple[str, ...] = (), aliases: dict[str, str] | None = None) -> DataFrame:
-    """Products (code, name, benchmark, listed, delisted) with scope, market state, group, liquidity and latest share
+    """Of rows (code, day, amount, volume, close): observations, mean and median amount, mean volume, the last close, and
+    the first and last day.
+
+    Days are read once: rows of a code with equal amounts meet first, and all else comes from that. The median is found by
+    rank, so a code with very many days is in no single task.
+    """
+    met = stored(days.groupBy("code", "amount").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"), F.count("volume").alias("volumes"), F.min("day").alias("first_day"), F.max(F.struct("day", "close")).alias("last")))
+    sums = met.groupBy("code").agg(
+        F.sum("n").alias("observations"), F.try_divide(F.sum(F.col("amount") * F.col("n")), F.sum(F.when(F.col("amount").isNotNull(), F.col("n")))).alias("avg_amount"), F.try_divide(F.sum("volume"), F.sum("volumes")).alias("avg_volume"),
+        F.max("last").alias("last"), F.min("first_day").alias("first_day"),
+    ).select("code", "observations", "avg_amount", "avg_volume", F.col("last.close").alias("latest_close"), "first_day", F.col("last.day").alias("last_day"))
+    return sums.join(scans.quantiles(met, ["code"], "amount", {"median_amount": 0.5}, weight="n"), "code", "left")
+
+
+def inventory(products: DataFrame, liquid: DataFrame, shares: DataFrame, as_of: str, excluded: tuple[str, ...], review: tuple[str, ...], allowed: tuple[str, ...] = (), aliases: dict[str, str] | None = None) -> DataFrame:
+    """Products (code, name, benchmark, listed, delisted) with scope, market state, group, `liquidity` and latest share
     (code, latest_share), and their rank in the group by mean amount: ties share the best rank, missing ones come last."""
     kind, reason = scope(F.concat_ws("|", F.coalesce("name", F.lit("")), F.coalesce("benchmark", F.lit(""))), excluded, review, allowed)
     out = products.withColumns({"scope": kind, "reasons": reason, "group": normalised(F.col("benchmark"), aliases), "state": market_state(F.col("listed"), F.col("delisted"), F.lit(as_of).cast("date"))})
-    out = out.join(liquidity(days), "code", "left").join(shares.select("code", "latest_share"), "code", "left")
+    names = ("observations", "avg_amount", "median_amount", "avg_volume", "latest_close")
+    out = out.join(liquid.select("code", *names), "code", "left").join(shares.select("code", "latest_share"), "code", "left")
     return out.withColumn("rank_in_group", F.rank().over(Window.partitionBy("group").orderBy(F.col("avg_amount").desc_nulls_last())))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rolling import lag
+from . import scans
 
 DAYS = 252
 
@@ -14,27 +15,25 @@ def benchmark_equity(panel: DataFrame, start_t: int) -> DataFrame:
     """(t, day, daily_return, equity, drawdown) from `start_t` on: every day the mean return of the assets that traded on it
     and on the day before, compounded from 1; a day without any returns 0.
 
-    The running product and maximum are over one row for each day of the calendar.
+    The running product and maximum are scans in two levels over one row for each day of the calendar.
     """
     both = F.col("tradable") & lag(F.col("tradable"), 1) & (lag(F.col("close"), 1) > 0)
     rows = panel.withColumn("_r", F.when(both, F.try_divide(F.col("close"), lag(F.col("close"), 1)) - 1)).where(F.col("t") >= start_t)
     daily = rows.groupBy("t", "day").agg(F.when(F.col("t") == start_t, 0.0).otherwise(F.coalesce(F.avg("_r"), F.lit(0.0))).alias("daily_return"))
-    return with_drawdown(daily.withColumn("equity", F.product(1 + F.col("daily_return")).over(_so_far([]))), [])
-
-
-def _so_far(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    return with_drawdown(scans.running(daily.withColumn("_g", 1 + F.col("daily_return")), "t", {"equity": ("_g", "product")}).drop("_g"), [])
 
 
 def with_drawdown(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, t, equity) with what equity has lost since its highest so far."""
-    return rows.withColumn("drawdown", F.col("equity") / F.max("equity").over(_so_far(keys)) - 1)
+    found = scans.running(rows, "t", {"_top": ("equity", "max")}, tuple(keys))
+    return found.withColumn("drawdown", F.col("equity") / F.col("_top") - 1).drop("_top")
 
 
 def strategy_equity(daily: DataFrame, keys: list[str]) -> DataFrame:
     """Daily scores (keys, t, day, absolute_return, baseline_return) as equity and benchmark_equity, compounded from 1."""
-    grown = {name: F.product(1 + F.col(r)).over(_so_far(keys)) for name, r in (("equity", "absolute_return"), ("benchmark_equity", "baseline_return"))}
-    return with_drawdown(daily.withColumns(grown), keys)
+    rows = daily.withColumns({"_a": 1 + F.col("absolute_return"), "_b": 1 + F.col("baseline_return")})
+    grown = scans.running(rows, "t", {"equity": ("_a", "product"), "benchmark_equity": ("_b", "product")}, tuple(keys))
+    return with_drawdown(grown.drop("_a", "_b"), keys)
 
 
 def equity_summary(rows: DataFrame, keys: list[str], yearly: bool = False) -> DataFrame:
@@ -53,8 +52,11 @@ def equity_summary(rows: DataFrame, keys: list[str], yearly: bool = False) -> Da
 
     years = F.count("*") / float(DAYS)
     spread = F.stddev_pop("_r")
+    rises = F.count_if(F.col("_r") > 0)
     return rows.groupBy(*by).agg(
         F.count("*").alias("days"),
+        rises.alias("up_days"),
+        F.count_if(F.col("_r") < 0).alias("down_days"),
         (ends("equity") - 1).alias("total_return"),
         (F.pow(ends("equity"), 1 / years) - 1).alias("annual_return"),
         F.when(spread > 0, F.avg("_r") / spread * DAYS**0.5).alias("sharpe"),
@@ -74,17 +76,16 @@ def trades(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 def trade_distribution(closed: DataFrame, keys: list[str]) -> DataFrame:
     """Win rate, moments and interpolated 5 and 95 per cent points of each key's trades."""
-    return closed.groupBy(*keys).agg(
+    sums = closed.groupBy(*keys).agg(
         F.count("*").alias("trades"),
         F.avg((F.col("pnl") > 0).cast("double")).alias("win_rate"),
         F.avg("pnl").alias("mean_pnl"),
-        F.median("pnl").alias("median_pnl"),
-        F.percentile("pnl", 0.05).alias("p05_pnl"),
-        F.percentile("pnl", 0.95).alias("p95_pnl"),
         F.avg("holding_days").alias("mean_holding_days"),
-        F.median("holding_days").alias("median_holding_days"),
         F.sum("pnl").alias("total_pnl"),
     )
+    points = scans.quantiles(closed, keys, "pnl", {"p05_pnl": 0.05, "median_pnl": 0.5, "p95_pnl": 0.95}).join(scans.quantiles(closed, keys, "holding_days", {"median_holding_days": 0.5}), keys)
+    names = ("trades", "win_rate", "mean_pnl", "median_pnl", "p05_pnl", "p95_pnl", "mean_holding_days", "median_holding_days", "total_pnl")
+    return sums.join(points, keys, "left").select(*keys, *names)
 
 
 def tail_attribution(closed: DataFrame, keys: list[str], share: float = 0.1) -> DataFrame:
@@ -111,9 +112,9 @@ def first_usable_day(panel: DataFrame, min_universe: int = 10) -> DataFrame:
     return counts.agg(F.min(F.struct("t", "day")).alias("x")).where("x is not null").select("x.t", "x.day")
 
 
-def rank_scores(ranked: DataFrame) -> DataFrame:
+def rank_scores(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """Ranks as scores: the best of n eligible assets gets n, the last 1."""
-    return ranked.where("rank is not null").select("t", "asset_idx", (F.col("eligible_count") - F.col("rank") + 1).alias("score"))
+    return ranked.where("rank is not null").select(*keys, "t", "asset_idx", (F.col("eligible_count") - F.col("rank") + 1).alias("score"))
 
 
 def largest_gaps(left: DataFrame, right: DataFrame, keys: list[str], names: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.rolling import by_asset
 
 HARD, WEAK = -5.0, -2.0
+#: A signal with at most this spread is constant.
+CONSTANT = 1e-12
 #: Digits that a correlation keeps: one that is zero may come out as 1e-17.
 DIGITS = 12
 
@@ -57,6 +59,27 @@ def forward_targets(panel: DataFrame, start_t: int, end_t: int | None, horizon:
     return kept.withColumn("top_k", top_k(F.col("available_count"))).drop("__sale", "__buy", "__sold", "__whole")
 
 
+def in_split(panel: DataFrame, start: str, end: str | None) -> tuple[int, int | None]:
+    """(first, last position) of the days from `start` to `end` (None: all that follow), both included; an error if there
+    are none."""
+    inside = panel.where(F.col("day") >= F.lit(start).cast("date"))
+    inside = inside if end is None else inside.where(F.col("day") <= F.lit(end).cast("date"))
+    first, last = inside.agg(F.min("t"), F.max("t")).first()
+    if first is None:
+        raise ValueError(f"no days from {start} to {end}")
+    return first, last
+
+
+def split_targets(panel: DataFrame, splits: dict[str, tuple[str, str | None]], horizon: int = 10, min_universe: int = 10) -> DataFrame:
+    """`forward_targets` of each split (name: first and last day), with its name in the column split. Windows of signals see
+    the days before a split; no purchase or sale leaves it."""
+    found = None
+    for name, (start, end) in splits.items():
+        rows = forward_targets(panel, *in_split(panel, start, end), horizon, min_universe).withColumn("split", F.lit(name))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def unpivoted(targets: DataFrame, signals: list[str], name: str = "formula", value: str = "signal") -> DataFrame:
     """A row for each target row and signal, so that all signals are scored in one plan: columns `name` and `value`."""
     kept = [c for c in targets.columns if c not in signals]
@@ -150,23 +173,25 @@ def drawdown_offsets(daily: DataFrame, horizon: int = 10) -> DataFrame:
     return out.select("offset", (F.col("x.equity") - 1.0).alias("total_return"), F.col("x.drawdown").alias("max_drawdown"), F.col("x.used").alias("used"))
 
 
-def older_daily_scores(panel: DataFrame, signal: str, horizon: int = 10, min_universe: int = 10) -> DataFrame:
-    """The older scorer: fixed sale day, and days with fewer than two eligible assets are passed over."""
+def older_daily_scores(panel: DataFrame, signal: str, horizon: int = 10, min_universe: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The older scorer: fixed sale day, and days with fewer than two eligible assets are passed over. With `keys`, of each of
+    them."""
+    asset = Window.partitionBy(*keys, "asset_idx").orderBy("t")
     rows = panel.withColumns(
         {
-            "b": F.lead("open", 1).over(by_asset()),
-            "s": F.lead("open", 1 + horizon).over(by_asset()),
-            "ok_b": F.lead("tradable", 1).over(by_asset()),
-            "ok_s": F.lead("tradable", 1 + horizon).over(by_asset()),
+            "b": F.lead("open", 1).over(asset),
+            "s": F.lead("open", 1 + horizon).over(asset),
+            "ok_b": F.lead("tradable", 1).over(asset),
+            "ok_s": F.lead("tradable", 1 + horizon).over(asset),
         }
     )
-    rows = rows.where(F.col("tradable") & F.col("ok_s").isNotNull()).withColumn("available_count", F.count("*").over(by_day()))
+    rows = rows.where(F.col("tradable") & F.col("ok_s").isNotNull()).withColumn("available_count", F.count("*").over(by_day(keys)))
     rows = rows.where((F.col("available_count") >= min_universe) & F.col("ok_b") & F.col("ok_s") & F.col(signal).isNotNull() & (F.col("b") > 0) & F.col("s").isNotNull())
-    rows = rows.withColumn("eligible_count", F.count("*").over(by_day())).where("eligible_count >= 2")
+    rows = rows.withColumn("eligible_count", F.count("*").over(by_day(keys))).where("eligible_count >= 2")
     rows = rows.withColumn("top_k", F.least(top_k(F.col("available_count")), F.col("eligible_count")))
-    rows = rows.withColumn("rank", F.row_number().over(by_day().orderBy(F.col(signal).desc(), "asset_idx"))).where("rank <= top_k")
+    rows = rows.withColumn("rank", F.row_number().over(by_day(keys).orderBy(F.col(signal).desc(), "asset_idx"))).where("rank <= top_k")
     ret = F.col("s") / F.col("b") - 1
-    return rows.groupBy("t", "day").agg(
+    return rows.groupBy(*keys, "t", "day").agg(
         F.first("available_count").alias("available_count"),
         F.first("eligible_count").alias("eligible_count"),
         F.first("top_k").alias("top_k"),
@@ -176,9 +201,9 @@ def older_daily_scores(panel: DataFrame, signal: str, horizon: int = 10, min_uni
     )
 
 
-def older_summary(daily: DataFrame, horizon: int = 10) -> DataFrame:
+def older_summary(daily: DataFrame, horizon: int = 10, keys: tuple[str, ...] = ()) -> DataFrame:
     mean = F.avg("mean_forward_return")
-    return daily.agg(
+    return daily.groupBy(*keys).agg(
         F.count("*").alias("scorer_days"),
         mean.alias("mean_return"),
         F.median("mean_forward_return").alias("median_return"),
@@ -188,6 +213,17 @@ def older_summary(daily: DataFrame, horizon: int = 10) -> DataFrame:
     )
 
 
+def scorer_comparison(panel: DataFrame, targets: DataFrame, signals: list[str], horizon: int = 10) -> DataFrame:
+    """Both scorers side by side for each signal column of `panel` and `targets`: days, mean returns, and how the mean of
+    absolute returns differs."""
+    new = summary(daily_scores(unpivoted(targets, signals), "signal", keys=("formula",)), ("formula",))
+    rows = unpivoted(panel.select("asset_idx", "t", "day", "open", "tradable", *signals), signals)
+    old = older_summary(older_daily_scores(rows, "signal", horizon, keys=("formula",)), horizon, ("formula",))
+    new = new.select("formula", "valid", F.col("scorer_days").alias("corrected_days"), F.col("mean_absolute_return").alias("corrected_absolute_return"), F.col("reward").alias("corrected_excess_return"))
+    both = new.join(old.select("formula", F.col("scorer_days").alias("older_days"), F.col("mean_return").alias("older_absolute_return")), "formula", "full")
+    return both.withColumn("absolute_return_difference", F.col("corrected_absolute_return") - F.col("older_absolute_return"))
+
+
 def signal_quality(targets: DataFrame, signals: list[str], least_coverage: float = 0.9) -> DataFrame:
     """Coverage and spread of each signal over the available cells of decision days, and why it is invalid."""
     named = F.explode(F.array(*[F.struct(F.lit(s).alias("formula"), F.col(s).alias("v")) for s in signals])).alias("x")
@@ -198,7 +234,7 @@ def signal_quality(targets: DataFrame, signals: list[str], least_coverage: float
     reason = (
         F.when(F.col("finite") == 0, "non_finite_result")
         .when(coverage < least_coverage, "low_coverage")
-        .when(F.col("spread") <= 1e-12, "constant_signal")
+        .when(F.col("spread") <= CONSTANT, "constant_signal")
         .otherwise("")
     )
     out = out.select("formula", "available", "finite", coverage.alias("coverage"), "spread", reason.alias("reason"))

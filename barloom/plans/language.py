@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import random
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -176,6 +175,39 @@ def opcodes(tree: tuple) -> list[int]:
     return [factors.NAMES.index("_".join(map(str, tree)))]
 
 
+def program(tree: tuple) -> list[str]:
+    """The tree in postfix order, a name for each step: a factor, `=` and a constant, or an operator with its window."""
+    name, *rest = tree
+    if name == "CONST":
+        return [f"={rest[0]!r}"]
+    if name in ROLLING:
+        return [*program(rest[0]), f"{name}_{rest[1]}"]
+    if name in UNARY or name in BINARY:
+        return [step for r in rest for step in program(r)] + [name]
+    return ["_".join(map(str, tree))]
+
+
+def operator_names(tree: tuple) -> list[str]:
+    """The operators of a tree, as often as they occur."""
+    below = [n for r in tree[1:] if isinstance(r, tuple) for n in operator_names(r)]
+    return [*below, tree[0]] if tree[0] in (*ROLLING, *UNARY, *BINARY) else below
+
+
+def repeats(tree: tuple) -> int:
+    """Subtrees with an operator that occur more than once, each counted without its first."""
+    seen: dict[tuple, int] = {}
+
+    def visit(t: tuple) -> None:
+        if t[0] in (*ROLLING, *UNARY, *BINARY):
+            seen[t] = seen.get(t, 0) + 1
+        for r in t[1:]:
+            if isinstance(r, tuple):
+                visit(r)
+
+    visit(tree)
+    return sum(n - 1 for n in seen.values())
+
+
 def shape(tree: tuple) -> tuple[int, int]:
     """(nodes, depth) of a tree."""
     below = [shape(r) for r in tree[1:] if isinstance(r, tuple)]
@@ -235,21 +267,3 @@ def plan(panel: DataFrame, formulas: dict[str, tuple]) -> DataFrame:
     for height in sorted(levels):
         out = out.withColumns({n: value(t) for t, n in levels[height].items()})
     return out.select(*panel.columns, *[column(t).alias(n) for n, t in formulas.items()])
-
-
-def generate(seed: int, count: int, longest: int = LONGEST) -> list[list[str]]:
-    """Random formulas, uniform over the legal actions at each step, ending included."""
-    rng, out = random.Random(seed), []
-    for _ in range(count):
-        state, tokens = START, []
-        while True:
-            actions: list[str | None] = legal(state, longest - len(tokens))
-            if state == (1, None, None):
-                actions.append(None)
-            token = rng.choice(actions)
-            if token is None:
-                break
-            tokens.append(token)
-            state = step(state, token)
-        out.append(tokens)
-    return out

@@ -274,7 +274,7 @@ def reconciled_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "volume", "amount", digits=4)  # a price that is rounded to a tie would differ between engines
 
 
-from . import market_queries  # noqa: E402,F401 - registers its queries, which use those above
+from . import attempt_queries, market_queries  # noqa: E402,F401 - they register their queries, which use those above
 
 
 def queries() -> dict[str, Query]:

@@ -12,6 +12,7 @@ START = "2010-01-01"
 PREFIXES = {"sh": ("5", "6"), "sz": ("0", "1", "3")}
 RIGHTS, EQUITY = 1, (2, 3, 5, 7, 8, 9, 10)
 EVENT_VALUES = ("c1", "c2", "c3", "c4")
+CARRIED = ("name", "category", "bucket")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -52,24 +53,31 @@ def number(name: str) -> Column:
     return F.expr(f"try_cast(`{name}` AS double)").alias(name)
 
 
+def day_of(name: str) -> Column:
+    """The day of a text with a date, and perhaps a time of day, which goes; an error with the text for any other, or none."""
+    day = F.to_date(F.expr(f"try_cast(`{name}` AS timestamp)"))
+    return F.coalesce(day, F.raise_error(F.concat(F.lit("no date: "), F.coalesce(F.col(name), F.lit("null")))).cast("date"))
+
+
 def _need(rows: DataFrame, names: tuple[str, ...], what: str) -> None:
     if lacking := sorted({*names} - {*rows.columns}):
         raise ValueError(f"{what} without {lacking}")
 
 
 def normalise_bars(rows: DataFrame, source: str, start: str | None = START) -> DataFrame:
-    """(day, symbol, exchange_symbol, source, fields as numbers) of rows from `start` on (None: all); time of day goes."""
+    """(day, symbol, exchange_symbol, source, fields as numbers, and of name, category and bucket what there is) of rows
+    from `start` on (None: all). Time of day goes; a date that is none is an error."""
     _need(rows, ("date", "symbol", *FIELDS), f"{source} bars")
-    day = F.to_date(F.expr("try_cast(date AS timestamp)"))
-    out = rows.select(day.alias("day"), "symbol", exchange_symbol(F.col("symbol")).alias("exchange_symbol"), F.lit(source).alias("source"), *map(number, FIELDS))
-    return out.where(F.col("day") >= F.lit(start).cast("date")) if start else out.where("day is not null")
+    also = [c for c in CARRIED if c in rows.columns]
+    out = rows.select(day_of("date").alias("day"), "symbol", exchange_symbol(F.col("symbol")).alias("exchange_symbol"), F.lit(source).alias("source"), *map(number, FIELDS), *also)
+    return out.where(F.col("day") >= F.lit(start).cast("date")) if start else out
 
 
 def normalise_events(rows: DataFrame) -> DataFrame:
     """Events with numbers and the flags is_rights and is_equity of their category."""
     _need(rows, ("date", "symbol", "category_code", *EVENT_VALUES), "events")
     code = F.expr("try_cast(category_code AS int)")
-    out = rows.select(F.to_date(F.expr("try_cast(date AS timestamp)")).alias("date"), "symbol", code.alias("category_code"), *map(number, EVENT_VALUES))
+    out = rows.select(day_of("date").alias("date"), "symbol", code.alias("category_code"), *map(number, EVENT_VALUES))
     flags = {"is_rights": F.col("category_code") == RIGHTS, "is_equity": F.col("category_code").isin(*EQUITY)}
     return out.withColumns({n: F.coalesce(x, F.lit(False)) for n, x in flags.items()})
 
