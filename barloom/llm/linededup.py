@@ -114,7 +114,7 @@ class CuckooFilter:
 
 def line_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, n_docs) of the lines in `docs`: a key counts once for each row it occurs in. Empty keys have none."""
-    of = mapped(lambda texts: [sorted({*map(digest_of, lines_of(t))} - {b""}) for t in texts], pa.list_(pa.binary()), "array<binary>")
+    of = mapped(lambda texts: [sorted({*map(digest_of, lines_of(t))} - {b""}) for t in texts], pa.list_(pa.binary()), "array<binary>", alone=True)
     return docs.select(F.explode(of(named(text_col))).alias("key")).groupBy("key").agg(F.count("*").alias("n_docs"))
 
 
@@ -240,7 +240,7 @@ def with_kept_lines(docs: DataFrame, counts: DataFrame, least: int, id_col: str
     frequent, _ = stored(counts.where(F.col("n_docs") >= least).select("key", "n_docs"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(parts, -(-frequent.count() // SHARD_KEYS))
-    of = mapped(lambda texts: [[*({*map(digest_of, lines_of(t))} - {b""})] for t in texts], pa.list_(pa.binary()), "array<binary>")
+    of = mapped(lambda texts: [[*({*map(digest_of, lines_of(t))} - {b""})] for t in texts], pa.list_(pa.binary()), "array<binary>", alone=True)
     lines = docs.select(named(id_col).alias("id"), F.explode(of(named(text_col))).alias("key"))
     found = frequent_lines(lines, build_filters(frequent, least, shards), spread(frequent, least, shards, GROUPS * parts), shards)
     gone = found.groupBy("id").agg(F.collect_set("key").alias("gone"))
@@ -252,10 +252,10 @@ def with_kept_lines(docs: DataFrame, counts: DataFrame, least: int, id_col: str
             out.append(_without(lines, [*map(digest_of, lines)] if r["g"] else [], {*(r["g"] or [])}))
         return out
 
-    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"), named(id_col).alias("own"), named(text_col).alias("text"))
-    joined = rows.join(gone, F.col("own").eqNullSafe(F.col("id")), "left")
-    both = F.struct(F.col("text").alias("t"), F.col("gone").alias("g"))
-    return joined.select("row", mapped(drop_some, DROPPED, DROPPED_DDL)(both).alias("kept"))
+    rows = docs.select(F.struct(*map(named, docs.columns)).alias("row"))  # the text is in it once
+    joined = rows.join(gone, F.col("row")[id_col].eqNullSafe(F.col("id")), "left")
+    both = F.struct(F.col("row")[text_col].alias("t"), F.col("gone").alias("g"))
+    return joined.select("row", mapped(drop_some, DROPPED, DROPPED_DDL, alone=True)(both).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, least: int = 10, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None) -> DataFrame:
