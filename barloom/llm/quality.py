@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 #: Labelled rows that a model is fitted on at most: those of the lowest hash of the id.
 SAMPLE = 6_000
 #: Runs whose buckets or weights a task keeps.
-CACHED = 300_000
+CACHED = 150_000
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 

@@ -49,7 +49,7 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(doc_id, fp long) of every row; null texts have fingerprint 0."""
-    of = mapped(lambda texts: [fingerprint(t, words) for t in texts], pa.int64(), "long")
+    of = mapped(lambda texts: [fingerprint(t, words) for t in texts], pa.int64(), "long", alone=True)
     return docs.select(named(id_col).cast("long").alias("doc_id"), of(named(text_col)).alias("fp"))
 
 

@@ -69,14 +69,16 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFram
     return both.select(*left.columns, *[F.col("_held")[c].alias(c) for c in names])
 
 
-def mapped(f: Callable[[list], list], kind: pa.DataType, ddl: str) -> Callable[[Column], Column]:
+def mapped(f: Callable[[list], list], kind: pa.DataType, ddl: str, alone: bool = False) -> Callable[[Column], Column]:
     """A column function from `f`, which takes a list of values (None for null) and returns a list of `kind`.
 
     Values go through `f` and on in pieces of about 4 MB, so that a batch of long texts needs no more memory than a batch
-    of short ones.
+    of short ones. alone: `f` needs nothing that is `built`, so a task first lets go of what an earlier one has built.
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if alone:
+            let_go()
         for batch in batches:
             for piece in pieces(batch):
                 yield pa.array(f(piece), kind)
@@ -96,14 +98,16 @@ def built(make: Callable, source):
     """
     same = _built[0] is make and (_built[1] is source or (isinstance(source, bytes) and _built[1] == source))
     if not same:
-        _built[:] = None, None, None
-        _give_back()
+        let_go()
         _built[:] = make, source, make(source)
     return _built[2]
 
 
-def _give_back() -> None:
-    """Memory that this worker no longer uses goes back to the system, which otherwise counts it on for the next stage."""
+def let_go() -> None:
+    """Drops what is built; the memory goes back to the system, which otherwise counts it on for the next stage."""
+    if _built[2] is None:
+        return
+    _built[:] = None, None, None
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
