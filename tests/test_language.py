@@ -28,14 +28,6 @@ def test_every_reachable_state_can_close():
         todo += [(lang.step(state, t), left - 1) for t in tokens]
 
 
-def test_generated_formulas_are_valid_and_repeatable():
-    made = lang.generate(7, 200)
-    assert made == lang.generate(7, 200)
-    for tokens in made:
-        codes = lang.opcodes(lang.parse(tokens))
-        assert all(0 <= c < 59 for c in codes)
-
-
 @pytest.mark.parametrize(
     "tokens, want",
     [
@@ -97,3 +89,16 @@ def test_a_plan_takes_one_shuffle(spark):
     plan = lang.plan(panel, {"x": lang.parse("DAYRET ROC WIN_20 ADD WIN_5 REF WIN_10 MEAN".split())})
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_opcodes_of_walks_and_constants():
+    import numpy as np
+
+    from barloom.plans import walks
+
+    for row in walks.walk(7, np.arange(200)):
+        assert all(0 <= c < 59 for c in lang.opcodes(lang.parse([lang.TOKENS[t] for t in row if t >= 0])))
+    assert lang.opcodes(lang.parse(["CONST_1"])) == [41]
+    for tokens in ("CONST_1 CONST_1 ADD", "CONST_0 CONST_1 SUB"):
+        with pytest.raises(lang.FormulaError, match="opcode"):
+            lang.opcodes(lang.canonical(lang.parse(tokens.split())))

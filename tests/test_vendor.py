@@ -5,8 +5,7 @@ from datetime import date
 
 import pytest
 
-from barloom.operators import candidates, inventory, reports
-from barloom.plans import language
+from barloom.operators import inventory, reports
 from barloom.sources import storage, vendor
 
 ROWS = "date string, symbol string, open string, high string, low string, close string, volume string, amount string"
@@ -34,10 +33,15 @@ def test_universe_must_be_complete(spark, tmp_path):
 
 def test_bars_are_made_uniform(spark):
     rows = spark.createDataFrame(
-        [("2010-01-04 15:00:00", "510300", "1.0", "x", "0.9", "1.0", "", "5"), ("2009-12-31", "159915", "1", "1", "1", "1", "1", "1"), (None, "159915", "1", "1", "1", "1", "1", "1")], ROWS
+        [("2010-01-04 15:00:00", "510300", "1.0", "x", "0.9", "1.0", "", "5"), ("2009-12-31", "159915", "1", "1", "1", "1", "1", "1")], ROWS
     )
     (bar,) = vendor.normalise_bars(rows, "raw").collect()
     assert (bar["day"], bar["exchange_symbol"], bar["open"], bar["high"], bar["volume"]) == (date(2010, 1, 4), "sh510300", 1.0, None, None)
+    for wrong in ("31.12.2009", "", None):
+        with pytest.raises(Exception, match="no date"):
+            vendor.normalise_bars(rows.withColumn("date", vendor.F.lit(wrong).cast("string")), "raw").collect()
+    named = vendor.normalise_bars(rows.withColumns({"name": vendor.F.lit("N"), "bucket": vendor.F.lit("B")}), "raw").collect()
+    assert (named[0]["name"], named[0]["bucket"]) == ("N", "B") and "category" not in named[0]
     with pytest.raises(Exception, match="no exchange"):
         vendor.normalise_bars(rows.withColumn("symbol", vendor.F.lit("910000")), "raw").collect()
     with pytest.raises(ValueError, match="without"):
@@ -72,23 +76,26 @@ def test_gaps_between_tables(spark):
     assert (row["name"], row["max_gap"], row["unmatched"]) == ("x", 0.5, 2)
 
 
-def test_attempts_say_what_they_are(spark):
-    rows = {r["attempt_index"]: r for r in candidates.attempts(spark, [["CLV", "INTRADAY", "ADD"], ["INTRADAY", "CLV", "ADD"], ["CLV", "ADD"]]).collect()}
-    assert rows[0]["canonical_hash"] == rows[1]["canonical_hash"] and (rows[0]["nodes"], rows[0]["depth"]) == (3, 2)
-    assert rows[2]["reason"] == "stack_underflow" and rows[2]["canonical_hash"] is None
-
-
-def test_folded_constants_have_no_wrong_opcode():
-    assert language.opcodes(language.parse(["CONST_1"])) == [41]
-    for tokens in ("CONST_1 CONST_1 ADD", "CONST_0 CONST_1 SUB"):
-        with pytest.raises(language.FormulaError, match="opcode"):
-            language.opcodes(language.canonical(language.parse(tokens.split())))
+def _executions(spark):
+    """The plans of all that has been executed, checkpoints and writes included."""
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(i).physicalPlanDescription() for i in range(found.size())]
 
 
 def test_one_scan_of_line_items(spark):
     from barloom import queries
 
     tables = "/root/testdata/sf0.001"
-    for name in ("formula_values", "score_summary_reversal", "signal_quality", "adjustment_gate"):
-        plan = queries.queries()[name](spark, tables)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("FileScan parquet") == 0, name  # all of it reads what was kept
+    for name in ("formula_values", "signal_quality", "adjustment_gate", "inventory_products", "inventory_order", "candidate_summary"):
+        before = len(_executions(spark))
+        queries.queries()[name](spark, tables).collect()
+        scans = [plan for plan in _executions(spark)[before:] if "lineitem.parquet" in plan]
+        assert len(scans) == 1 and scans[0].count("lineitem.parquet") <= 2, name  # its location is told in the first and the final plan
+
+
+def test_the_scan_counter_counts(spark):
+    before = len(_executions(spark))
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    lines.count()
+    lines.groupBy("l_partkey").count().collect()
+    assert len([plan for plan in _executions(spark)[before:] if "lineitem.parquet" in plan]) == 2
