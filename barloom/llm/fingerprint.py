@@ -18,10 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import cut, mapped
+from .support import mapped, named, stored
 
 #: Bits of the digests' prefix that the filter of buckets with several documents has: 2 MB, whatever the input.
 PREFIX_BITS = 24
+#: Digests that different texts share, up to which they are broadcast.
+FEW = 10_000
 
 
 def canonical(text: str | None) -> bytes:
@@ -73,7 +75,7 @@ def collided(docs: DataFrame, digests: DataFrame, text_col: str = "text", digest
         return out
 
     kind = pa.struct([("digest", pa.string()), ("frame", pa.binary())])
-    shown = docs.select(mapped(frames, kind, "struct<digest: string, frame: binary>")(F.col(text_col)).alias("x")).where("x is not null").select("x.*")
+    shown = docs.select(mapped(frames, kind, "struct<digest: string, frame: binary>")(named(text_col)).alias("x")).where("x is not null").select("x.*")
     distinct = shown.groupBy("digest", "frame").agg(F.count("*").alias("n"))
     apart = distinct.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     # Frames that differ may still hold equal bytes, if tasks had different versions of the library.
@@ -134,10 +136,10 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         if last is not None:
             yield pa.RecordBatch.from_pylist([{"doc_id": last[0], "part": TaskContext.get().partitionId(), "head": head, "tail": last[1] or ""}], kind)
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ordered = docs.select(named(id_col).cast("long").alias("doc_id"), F.coalesce(named(text_col), F.lit("")).alias("text"))
     down = F.col("doc_id").desc_nulls_last()
     ordered = ordered.repartitionByRange(down).sortWithinPartitions(down, "text")
-    found = cut(ordered.mapInArrow(compare, f"doc_id bigint, {KIND_DDL}, part int, head string, tail string"))
+    found, _ = stored(ordered.mapInArrow(compare, f"doc_id bigint, {KIND_DDL}, part int, head string, tail string"))
     ends = found.where("part is not null")  # one row for each range
     # The numbers of the ranges alone go through one task; texts move by a join.
     by = Window.orderBy("part")
@@ -148,11 +150,13 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ends = ends.select("part", "doc_id", "tail").join(order, "part").join(heads, "after")
     ends = ends.select("doc_id", F.struct("tail", "next").alias("p")).select("doc_id", of("p").alias("x")).select("doc_id", "x.*")
     every = found.where("part is null").drop("part", "head", "tail").unionByName(ends)
-    apart = collided(docs, every.select("digest"), text_col).withColumn("apart", F.lit(True))
+    apart, _ = stored(collided(docs, every.select("digest"), text_col).withColumn("apart", F.lit(True)))
+    # Digests of several texts are next to none; a broadcast is bounded by their count, beyond it rows meet by digest.
+    apart = F.broadcast(apart) if apart.count() <= FEW else apart.hint("merge")
 
-    def named(name: str, strong: str, flag: str):
+    def parted(name: str, strong: str, flag: str):
         return F.when(F.col(flag), F.concat(name, F.lit("-"), strong)).otherwise(F.col(name))
 
     every = every.join(apart.select(F.col("digest"), F.col("apart").alias("a")), "digest", "left")
     every = every.join(apart.select(F.col("digest").alias("edited_digest"), F.col("apart").alias("b")), "edited_digest", "left")
-    return every.select("doc_id", "n_chars", "edited_sha256", named("digest", "strong", "a").alias("fingerprint"), named("edited_digest", "edited_strong", "b").alias("edited_fingerprint"), "near_edited", "near_next")
+    return every.select("doc_id", "n_chars", "edited_sha256", parted("digest", "strong", "a").alias("fingerprint"), parted("edited_digest", "edited_strong", "b").alias("edited_fingerprint"), "near_edited", "near_next")
