@@ -1,7 +1,7 @@
 """Sharding by sampled splitters, with DataFrame functions alone.
 
 Key samples, drawn with a chance in proportion to size, give quantile splitters. Records fall into the ranges between
-them; a key that is itself a splitter gets a range of its own, so that a hot key stands alone. Ranges that are overfull
+them; a key that is itself a splitter, as every hot key is, gets a range of its own. Ranges that are overfull
 all the same are subdivided: by equal steps of the key, or, if one key fills them, by a hash of the id. A running sum
 over the range totals and one within each range place every record on a common line, which is cut into shards.
 """
@@ -53,7 +53,9 @@ def shard(
     chance = F.shiftrightunsigned(F.xxhash64("key", "doc_id", F.lit("sample")), 11) / F.lit(float(1 << 53))
     sample = base.where(chance < F.col("weight") * F.lit(8.0 * n / max(total, 1)))
     quantiles = [i / n for i in range(1, n)]
-    splitters = sorted({*(sample.agg(F.percentile_approx("key", quantiles, 10_000).alias("q")).first().q or [])})
+    # A key with more rows than a range should have stands alone too, however few bytes its rows have; fewer than n do.
+    hot = base.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * n > rows).collect()
+    splitters = sorted({*(sample.agg(F.percentile_approx("key", quantiles, 10_000).alias("q")).first().q or []), *(r["key"] for r in hot)})
     bounds = F.array(*map(F.lit, splitters)).cast("array<bigint>")
     below = F.size(F.filter(bounds, lambda s: s < F.col("key")))
     ranged = base.withColumn("range", below * 2 + F.array_contains(bounds, F.col("key")).cast("int"))
@@ -91,7 +93,7 @@ def shard(
     cut_at = f"(2 * w + {'weight' if law == 'bytes' else '0'}) * {shards}L div {2 * max(total, 1)}L"
     placed = cut(placed.withColumn("shard", F.least(F.expr(cut_at), F.lit(shards - 1)).cast("int")))
     first = placed.groupBy("shard").agg(F.min("n").alias("first"))  # one row for each shard
-    return placed.join(first, "shard").select(
+    return placed.join(F.broadcast(first), "shard").select(
         "doc_id",
         "size",
         "text_crc32",
