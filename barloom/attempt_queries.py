@@ -14,7 +14,7 @@ from .operators import candidates, evaluation, likeness, scoring
 from .plans import display, language, older, walks
 from .queries import _USED, _VALUES, HORIZON, START, _signal, query, rounded, tree
 from .sources import ledger, star
-from .sources.storage import kept, shared_folder
+from .sources.storage import kept, shared_folder, stored
 from .streaming import attempts as arrivals
 
 SEED = 11
@@ -30,9 +30,14 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("tokens", F.when(i % 10 == 3, F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(1)))).otherwise(F.col("tokens")))
 
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    panel = star.brand_panel(spark, sf_dir)
+    return evaluation.histories(panel, scoring.forward_targets(panel, START, None, HORIZON))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status of every attempt, with rewards rounded, so that ties in them don't depend on the order of sums."""
-    found = candidates.score(candidates.described(attempts(spark, sf_dir)), star.brand_panel(spark, sf_dir), START, None, HORIZON)
+    found = candidates.score(candidates.described(attempts(spark, sf_dir)), _history(spark, sf_dir))
     return kept(rounded(found, "reward", "effective_reward"))
 
 
@@ -114,13 +119,13 @@ def candidate_operator_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _compared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(items, pairs) of the best forms of each bucket that have enough days to be compared."""
-    panel = star.brand_panel(spark, sf_dir)
+    history = stored(_history(spark, sf_dir))
     tried = kept(candidates.described(attempts(spark, sf_dir)))
-    scored = rounded(candidates.score(tried, panel, START, None, HORIZON), "reward")
+    scored = rounded(candidates.score(tried, history), "reward")
     items = kept(candidates.buckets(candidates.best_of_hash(scored)).select("canonical_hash", "token_len", "reward"))
     programs = tried.where("reason = ''").select("canonical_hash", "program").dropDuplicates(["canonical_hash"])
     blocks, n = evaluation.in_blocks(programs.join(items.select("canonical_hash"), "canonical_hash"))
-    found = kept(evaluation.signals(evaluation.histories(panel, scoring.forward_targets(panel, START, None, HORIZON)), blocks, n))
+    found = stored(evaluation.signals(history, blocks, n))
     enough = likeness.covered(found, blocks).where("sufficient").select("canonical_hash")
     items = kept(items.join(enough, "canonical_hash", "left_semi"))
     pairs = likeness.pairs(found, blocks, n).join(enough.select(F.col("canonical_hash").alias("a")), "a", "left_semi").join(enough.select(F.col("canonical_hash").alias("b")), "b", "left_semi")

@@ -46,12 +46,12 @@ def described(rows: DataFrame) -> DataFrame:
     return rows.select("attempt_index", "tokens", F.coalesce(F.size("tokens"), F.lit(0)).alias("token_len"), of("tokens").alias("x")).select("attempt_index", "tokens", "token_len", "x.*")
 
 
-def score(tried: DataFrame, panel: DataFrame, start_t: int, end_t: int | None, horizon: int) -> DataFrame:
-    """`tried`, as `described`, with scores on the panel, status and rewards: each different formula is computed once."""
+def score(tried: DataFrame, history: DataFrame) -> DataFrame:
+    """`tried`, as `described`, with scores on the assets' histories (as `evaluation.histories`), status and rewards: each
+    different formula is computed once."""
     tried = kept(tried)
     blocks, n = evaluation.in_blocks(tried.where("reason = ''").select("canonical_hash", "program").dropDuplicates(["canonical_hash"]))
-    targets = scoring.forward_targets(panel, start_t, end_t, horizon)
-    return resolved(tried, evaluation.scores(evaluation.signals(evaluation.histories(panel, targets), blocks, n), blocks))
+    return resolved(tried, evaluation.scores(evaluation.signals(history, blocks, n), blocks))
 
 
 def resolved(tried: DataFrame, found: DataFrame) -> DataFrame:
