@@ -1,7 +1,7 @@
 """Many formulas at once: values by asset and block of formulas, scores by day and block.
 
 A block is some hundred formulas. Assets, with their whole history, meet every block; what a task computes is the matrix
-of one asset's days by one block's formulas, in which equal subformulas are computed once. A second shuffle brings the
+of one asset's days by one block's formulas, in which factors and equal subformulas are computed once. A second shuffle brings the
 assets of a day and block together, where signals are ranked side by side. No plan grows with the number of formulas.
 """
 
@@ -11,16 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import factors
+from ..functions import arrays, factors
+from ..sources.star import PRICES
 from ..sources.storage import kept
 from . import scoring
 
 #: Formulas of a block, about.
 BLOCK = 128
+FACTORS = frozenset(factors.NAMES)
 TARGET = ("fwd_ret", "sell_t", "available_count", "top_k", "baseline_ret")
 
 
@@ -34,10 +35,10 @@ def in_blocks(formulas: DataFrame, size: int = BLOCK) -> tuple[DataFrame, int]:
 
 
 def histories(panel: DataFrame, targets: DataFrame) -> DataFrame:
-    """(asset_idx, days: array of t, tradable, target columns and factors in order of t): a row for each asset."""
-    placed = factors.with_factors(panel.select("asset_idx", "t", "tradable", "open", "high", "low", "close"))
+    """(asset_idx, days: array of t, tradable, target columns and prices in order of t): a row for each asset."""
+    placed = panel.select("asset_idx", "t", "tradable", *PRICES)
     found = placed.join(targets.select("asset_idx", "t", *TARGET), ["asset_idx", "t"], "left")
-    day = F.struct("t", "tradable", *[F.col(c).cast("double").alias(c) for c in TARGET], *factors.NAMES)
+    day = F.struct("t", "tradable", *[F.col(c).cast("double").alias(c) for c in (*TARGET, *PRICES)])
     return found.groupBy("asset_idx").agg(F.array_sort(F.collect_list(day)).alias("days"))
 
 
@@ -51,18 +52,16 @@ def values(program: list[str], column: dict[str, np.ndarray], tradable: np.ndarr
         stack.append(name)
 
     def masked(x: np.ndarray) -> np.ndarray:
-        return np.where(tradable & np.isfinite(x), x, np.nan)
+        return arrays.masked(x, tradable)
 
     for token in program:
-        if token in column:
-            put(token, lambda: column[token])
+        if token in FACTORS:
+            put(token, lambda: arrays.factor(token, column, tradable))
         elif token.startswith("="):
             put(token, lambda: masked(np.full(len(tradable), float(token[1:]))))
         elif token.startswith(("REF_", "MEAN_")):
             a, n = stack.pop(), int(token.split("_")[1])
-            x = known[a]
-            lead = np.full(n if token[0] == "R" else n - 1, np.nan)
-            put(f"({a} {token})", lambda: masked(np.concatenate([lead, x])[: len(x)] if token[0] == "R" else sliding_window_view(np.concatenate([lead, x]), n).mean(axis=1)))
+            put(f"({a} {token})", lambda: masked((arrays.lag if token[0] == "R" else arrays.mean)(known[a], n)))
         elif token in ("NEG", "ABS", "SIGN"):
             a = stack.pop()
             put(f"({a} {token})", lambda: {"NEG": np.negative, "ABS": np.abs, "SIGN": np.sign}[token](known[a]))
@@ -86,7 +85,7 @@ def signals(history: DataFrame, blocks: DataFrame, n_blocks: int) -> DataFrame:
         for batch in batches:
             for block, asset, days, programs in zip(*(batch[c] for c in ("block", "asset_idx", "days", "programs"))):
                 rows = days.values
-                column = {n: rows.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in (*TARGET, *factors.NAMES)}
+                column = {n: rows.field(n).to_numpy(zero_copy_only=False).astype(np.float64) for n in (*TARGET, *PRICES)}
                 tradable = rows.field("tradable").to_numpy(zero_copy_only=False).astype(bool)
                 known: dict[str, np.ndarray] = {}
                 found = [values(p, column, tradable, known) for p in programs.as_py()]

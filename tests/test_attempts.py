@@ -3,10 +3,12 @@
 import math
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from barloom import attempt_sql
+from barloom.functions import arrays, factors
 from barloom.operators import candidates, evaluation, scoring
 from barloom.plans import display, language, older, walks
 from barloom.sources import star
@@ -40,6 +42,19 @@ def test_values_in_blocks_equal_the_plan(spark):
             assert found[r["t"], r["asset_idx"], name] == (None if r[name] is None else pytest.approx(r[name], rel=1e-9, abs=1e-12)), (name, r["t"])
 
 
+def test_factors_as_arrays_equal_the_columns(spark):
+    panel = star.brand_panel(spark, "/root/testdata/sf0.001").where("asset_idx < 4 and t < 150")
+    rows = sorted(factors.with_factors(panel).collect(), key=lambda r: (r["asset_idx"], r["t"]))
+    for asset in range(4):
+        mine = [r for r in rows if r["asset_idx"] == asset]
+        prices = {p: np.array([math.nan if r[p] is None else r[p] for r in mine]) for p in star.PRICES}
+        tradable = np.array([r["tradable"] for r in mine])
+        assert not tradable.all()
+        for name in factors.NAMES:
+            found = [None if math.isnan(v) else v for v in arrays.factor(name, prices, tradable)]
+            assert found == [None if r[name] is None else pytest.approx(r[name], rel=1e-9, abs=1e-12) for r in mine], name
+
+
 def test_forms_equal_the_second_implementation(spark):
     lists = [attempt_sql.walked(4, i) for i in range(400)] + [["CLV", "ADD"], ["WIN_5"], [], ["CONST_1", "CONST_1", "ADD"], "CLV NEG NEG CONST_0 SUB".split()]
     for r in tried(spark, lists).collect():
