@@ -246,7 +246,7 @@ def _summary_sql(by: str, year: str) -> str:
     return f"""{_CURVES},
 years AS (SELECT *{year} FROM curve),
 steps AS (SELECT *, coalesce(equity / lag(equity) OVER (PARTITION BY {by} ORDER BY t) - 1, 0) AS r, equity / max(equity) OVER (PARTITION BY {by} ORDER BY t) - 1 AS dd FROM years),
-s AS (SELECT {by}, count(*) AS days, count_if(r > 0) AS up_days, count_if(r < 0) AS down_days, arg_max(equity, t) / arg_min(equity, t) AS e, arg_max(bench, t) / arg_min(bench, t) AS b, avg(r) AS m, stddev_pop(r) AS sd, min(dd) AS dd FROM steps GROUP BY {by})
+s AS (SELECT {by}, count(*) AS days, count_if(round(r, 12) > 0) AS up_days, count_if(round(r, 12) < 0) AS down_days, arg_max(equity, t) / arg_min(equity, t) AS e, arg_max(bench, t) / arg_min(bench, t) AS b, avg(r) AS m, stddev_pop(r) AS sd, min(dd) AS dd FROM steps GROUP BY {by})
 SELECT {by}, days, up_days, down_days, round(e - 1, 6) + 0.0 AS total_return, round(pow(e, 252.0::DOUBLE / days) - 1, 6) + 0.0 AS annual_return, round(CASE WHEN sd > 0 THEN m / sd * sqrt(252.0::DOUBLE) END, 6) + 0.0 AS sharpe,
   round(dd, 6) + 0.0 AS max_drawdown, round(b - 1, 6) + 0.0 AS benchmark_total_return, round(pow(b, 252.0::DOUBLE / days) - 1, 6) + 0.0 AS benchmark_annual_return FROM s"""
 

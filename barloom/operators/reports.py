@@ -52,11 +52,11 @@ def equity_summary(rows: DataFrame, keys: list[str], yearly: bool = False) -> Da
 
     years = F.count("*") / float(DAYS)
     spread = F.stddev_pop("_r")
-    rises = F.count_if(F.col("_r") > 0)
+    moves = F.round("_r", 12)  # a day in cash is none, whatever the division leaves
     return rows.groupBy(*by).agg(
         F.count("*").alias("days"),
-        rises.alias("up_days"),
-        F.count_if(F.col("_r") < 0).alias("down_days"),
+        F.count_if(moves > 0).alias("up_days"),
+        F.count_if(moves < 0).alias("down_days"),
         (ends("equity") - 1).alias("total_return"),
         (F.pow(ends("equity"), 1 / years) - 1).alias("annual_return"),
         F.when(spread > 0, F.avg("_r") / spread * DAYS**0.5).alias("sharpe"),
