@@ -57,6 +57,8 @@ class PieceModel:
         normal = {p.piece: (zipf(-p.score, len(known)) if merges else p.score, i) for i, p in known}
         self.setup(normal, {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == p.BYTE})
 
+    cached = CACHED
+
     @classmethod
     def of(cls, pieces: dict[str, float], prefix: bool = True) -> PieceModel:
         """A model of its own: ids 0 to 255 are bytes, then the pieces in the order given."""
@@ -82,7 +84,7 @@ class PieceModel:
         self.pairs = {piece[k : k + 2] for piece in normal for k in range(len(piece) - 1)}
         self.cut_at_space = not any(p[0] != SPACE and p[1] == SPACE for p in self.pairs)
         self.text = {i: p.replace(SPACE, " ").encode() for p, (_, i) in normal.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
-        #: Spans seen lately and, once those are CACHED, the ones before them; what is met again moves up.
+        #: Spans seen lately and, once those are `cached`, the ones before them; what is met again moves up.
         self.spans: dict[str, tuple[float, float, bytes]] = {}
         self.older: dict[str, tuple[float, float, bytes]] = {}
         self.several: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
@@ -189,7 +191,7 @@ class PieceModel:
             else:
                 found = self.viterbi(span)
         if len(span) <= CACHED_LENGTH:
-            if len(self.spans) >= CACHED:
+            if len(self.spans) >= self.cached:
                 self.spans, self.older = {}, self.spans
             self.spans[span] = found
         return found
@@ -263,6 +265,12 @@ class PieceModel:
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
+class SparePieceModel(PieceModel):
+    """A model for tasks whose workers have other stages behind them: some 40 MB less, a fifth more time."""
+
+    cached = 60_000
+
+
 ENCODED = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
 
@@ -287,7 +295,7 @@ def best(docs: DataFrame, model: str, text_col: str = "text") -> Column:
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
 
     def run(texts: list) -> list:
-        m, out = built(PieceModel, held.value), []
+        m, out = built(SparePieceModel, held.value), []
         for text in texts:
             score, ids = m.encode(text)[0]
             out.append({"ids": np.frombuffer(ids, "<i4"), "score": score, "round_trip": m.decode(ids) == (text or "")})

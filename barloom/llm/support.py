@@ -104,9 +104,8 @@ def built(make: Callable, source):
 
 
 def let_go() -> None:
-    """Drops what is built; the memory goes back to the system, which otherwise counts it on for the next stage."""
-    if _built[2] is None:
-        return
+    """Drops what is built; the memory, that of earlier tasks too, goes back to the system, which otherwise counts it on for
+    the next stage."""
     _built[:] = None, None, None
     gc.collect()
     pa.default_memory_pool().release_unused()
