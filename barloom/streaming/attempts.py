@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..operators import scoring
+from ..operators import scans, scoring
 
 #: What a stream has to bring; `sound` says that an attempt has a signal and a reward, `flaw` why not.
 FIELDS = ("attempt_index", "canonical_hash", "selection_hash", "token_len", "reward", "sound", "flaw")
@@ -68,13 +68,17 @@ def resolved(rows: DataFrame) -> DataFrame:
 
 def _committed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """What `folder` has under `name`, of batches whose metrics are there."""
-    return spark.read.parquet(f"{folder}/{name}").join(metrics(spark, folder).select("batch"), "batch", "left_semi")
+    return spark.read.parquet(f"{folder}/{name}").join(spark.read.parquet(f"{folder}/metrics").select("batch").distinct(), "batch", "left_semi")
 
 
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """A row for each batch: its number, first and last index, attempts, accepted ones and duplicates, sound ones, mean and
-    best reward, and the best reward so far, which starts at the hard one."""
-    return spark.read.parquet(f"{folder}/metrics")
+    """A row for each batch, or each arrival where `follow` was given their size: its number, first and last index, attempts,
+    accepted ones and duplicates, sound ones, mean and best reward, and the best reward so far, which starts at the hard one.
+    An arrival that came in several batches is one row."""
+    total = [F.sum(n).alias(n) for n in ("attempts", "accepted_unique", "canonical_duplicate", "selection_duplicate", "sound", "reward")]
+    found = spark.read.parquet(f"{folder}/metrics").groupBy("arrival").agg(F.min("first").alias("first"), F.max("last").alias("last"), *total, F.max("best_reward").alias("best_reward"), F.max("best_so_far").alias("best_so_far"))
+    mean = F.try_divide("reward", F.col("sound").cast("double")).alias("mean_reward")
+    return found.select(F.col("arrival").cast("int").alias("batch"), "first", "last", "attempts", "accepted_unique", "canonical_duplicate", "selection_duplicate", "sound", mean, "best_reward", "best_so_far")
 
 
 def statuses(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,10 +92,12 @@ def forms(spark: SparkSession, folder: str) -> DataFrame:
     return last.select(F.col("key").alias("canonical_hash"), F.col("x.n").alias("attempts"), F.col("x.first").alias("first_index"), "x.first_sound", F.col("x.sound_n").alias("sound"), F.col("x.best_len").alias("token_len"), F.col("x.best_reward").alias("reward"), "x.best_index")
 
 
-def follow(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+def follow(stream: DataFrame, folder: str, checkpoint: str, size: int | None = None) -> StreamingQuery:
     """Starts a query over `stream` (FIELDS) that takes what is there and ends; started again it goes on behind that.
 
     folder and checkpoint are in storage that driver and executors share.
+    size: attempts of an arrival. Metrics are of arrivals then, of which a batch of the query may bring many at once; so the
+    number of batches, each with jobs of its own, does not grow with that of arrivals.
     """
     spark = stream.sparkSession
 
@@ -102,17 +108,13 @@ def follow(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
         try:
             done, best = -1, scoring.HARD
             try:
-                before = metrics(session, folder).where(F.col("batch") < batch).agg(F.max("last"), F.max("best_so_far")).first()
+                before = session.read.parquet(f"{folder}/metrics").where(F.col("batch") < batch).agg(F.max("last"), F.max("best_so_far")).first()
                 done, best = (before[0], before[1]) if before[0] is not None else (done, best)
             except Exception as error:  # no batch has been written yet
                 if "PATH_NOT_FOUND" not in str(error):
                     raise
             seen = Observation("batch")
-            of = lambda status: F.count_if(F.col("status") == status).alias(status)
-            found = resolved(rows).observe(
-                seen, F.min("attempt_index").alias("first"), F.max("attempt_index").alias("last"), F.count(F.lit(1)).alias("attempts"), of("accepted_unique"), of("canonical_duplicate"), of("selection_duplicate"),
-                F.count("reward").alias("sound"), F.avg("reward").alias("mean_reward"), F.max("reward").alias("best_reward"),
-            )
+            found = resolved(rows).observe(seen, F.min("attempt_index").alias("first"), F.max("attempt_index").alias("last"), F.count(F.lit(1)).alias("attempts"))
             found.write.mode("overwrite").parquet(f"{folder}/attempts/batch={batch}")
             got = seen.get
             if not got["attempts"]:
@@ -121,9 +123,14 @@ def follow(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
             if got["first"] != done + 1 or got["last"] - got["first"] + 1 != got["attempts"] or repeated:
                 raise ValueError(f"attempts {got['first']} to {got['last']} ({got['attempts']} different) do not follow {done} without a gap")
             rows.where("kind = 'form'").groupBy("key").agg(F.max_by(F.struct("first", "n", "sound_n", "first_sound", "best_reward", "best_len", "best_index"), "n").alias("x")).select("key", "x.*").write.mode("overwrite").parquet(f"{folder}/forms/batch={batch}")
-            row = {**got, "best_so_far": max([best] + [got["best_reward"]] * (got["best_reward"] is not None))}
-            kinds = "first long, last long, attempts long, accepted_unique long, canonical_duplicate long, selection_duplicate long, sound long, mean_reward double, best_reward double, best_so_far double"
-            session.createDataFrame([tuple(row[k.split()[0]] for k in kinds.split(", "))], kinds).coalesce(1).write.mode("overwrite").parquet(f"{folder}/metrics/batch={batch}")
+            of = lambda status: F.count_if(F.col("status") == status).alias(status)
+            arrival = (F.floor(F.col("attempt_index") / size) if size else F.lit(batch)).cast("long").alias("arrival")
+            per = session.read.parquet(f"{folder}/attempts/batch={batch}").groupBy(arrival).agg(
+                F.min("attempt_index").alias("first"), F.max("attempt_index").alias("last"), F.count(F.lit(1)).alias("attempts"), of("accepted_unique"), of("canonical_duplicate"), of("selection_duplicate"),
+                F.count("reward").alias("sound"), F.sum("reward").alias("reward"), F.max("reward").alias("best_reward"),
+            )
+            so_far = scans.running(per, "arrival", {"best_so_far": ("best_reward", "max")})
+            so_far.withColumn("best_so_far", F.greatest("best_so_far", F.lit(best))).write.mode("overwrite").parquet(f"{folder}/metrics/batch={batch}")
         finally:
             rows.unpersist()
 

@@ -63,3 +63,25 @@ def test_a_gap_is_an_error(spark, tmp_path, wrong):
     rows = {"gap": rows[:5] + rows[6:], "repeat": rows[:6] + rows[5:], "start": rows[1:]}[wrong]
     with pytest.raises(StreamingQueryException, match="without a gap"):
         follow(spark, str(tmp_path), rows, 20)
+
+
+def test_arrivals_don_t_make_batches(spark, tmp_path):
+    """Metrics are of arrivals, however many a batch brings and where it cuts them."""
+    rows, folder = some(103), str(tmp_path)
+    best = lambda part: max([x[4] for x in part if x[5]], default=None)
+    for part in (rows[:47], rows[47:]):
+        spark.createDataFrame(part, SCHEMA).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        arrivals.follow(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), f"{folder}/out", f"{folder}/state", 10).awaitTermination()
+    assert len(list((tmp_path / "out" / "metrics").glob("batch=*"))) == 2
+    status, forms = expected(rows)
+    assert {r["attempt_index"]: r["status"] for r in arrivals.statuses(spark, f"{folder}/out").collect()} == status
+    assert {r["canonical_hash"]: (r["attempts"], r["first_index"], r["reward"]) for r in arrivals.forms(spark, f"{folder}/out").collect()} == forms
+    found = sorted(arrivals.metrics(spark, f"{folder}/out").collect(), key=lambda r: r["batch"])
+    assert [r["batch"] for r in found] == [*range(11)]
+    for r in found:
+        part = rows[r["batch"] * 10 : r["batch"] * 10 + 10]
+        sound = [x[4] for x in part if x[5]]
+        assert (r["first"], r["last"], r["attempts"], r["sound"]) == (part[0][0], part[-1][0], len(part), len(sound))
+        assert r["best_reward"] == best(part) and r["best_so_far"] == max(-5.0, best(rows[: r["last"] + 1]) or -5.0)
+        assert r["mean_reward"] == (pytest.approx(sum(sound) / len(sound)) if sound else None)
+        assert r["accepted_unique"] == sum(status[x[0]] == "accepted_unique" for x in part)
