@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import kept, stored
 from . import scans
 
 CANDIDATE, EXCLUDED, REVIEW = "candidate", "exclude", "review"
@@ -37,19 +37,51 @@ def normalised(text: Column, aliases: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.try_element_at(table, plain), plain)
 
 
-def liquidity(days: DataFrame) -> DataFrame:
+#: Rows of a code that are ordered together; codes with more are taken apart by amount.
+TOGETHER = 1 << 18
+
+
+def _sums() -> list[Column]:
+    """Aggregates of what `_liquid` takes.
+
+    Amounts are summed as decimals, without rounding errors, so products with equal amounts have equal means and share a
+    rank, in whatever order rows come. `rough` is for amounts that are no such decimals.
+    """
+    names = ("exact", "rough", "odd", "amounts", "volume", "volumes", "observations")
+    return [*[(F.try_sum if n == "exact" else F.sum)(n).alias(n) for n in names], F.min("first_day").alias("first_day"), F.max("last").alias("last")]
+
+
+def _liquid(sums: DataFrame, *more: str) -> DataFrame:
+    total = F.when(F.col("odd") == 0, F.col("exact").cast("double"))
+    return sums.select(
+        "code", "observations", F.try_divide(F.coalesce(total, "rough"), "amounts").alias("avg_amount"), F.try_divide("volume", "volumes").alias("avg_volume"),
+        F.col("last.close").alias("latest_close"), "first_day", F.col("last.day").alias("last_day"), *more,
+    )
+
+
+def liquidity(days: DataFrame, together: int = TOGETHER) -> DataFrame:
     """Of rows (code, day, amount, volume, close): observations, mean and median amount, mean volume, the last close, and
     the first and last day.
 
-    Days are read once: rows of a code with equal amounts meet first, and all else comes from that. The median is found by
-    rank, so a code with very many days is in no single task.
+    Days are read once. Rows of a code meet in one shuffle, in order of amount, which is where the median comes from. Codes
+    of more than `together` rows are in no single task: their rows with equal amounts meet first, and the median is found by
+    rank.
     """
-    met = stored(days.groupBy("code", "amount").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"), F.count("volume").alias("volumes"), F.min("day").alias("first_day"), F.max(F.struct("day", "close")).alias("last")))
-    sums = met.groupBy("code").agg(
-        F.sum("n").alias("observations"), F.try_divide(F.sum(F.col("amount") * F.col("n")), F.sum(F.when(F.col("amount").isNotNull(), F.col("n")))).alias("avg_amount"), F.try_divide(F.sum("volume"), F.sum("volumes")).alias("avg_volume"),
-        F.max("last").alias("last"), F.min("first_day").alias("first_day"),
-    ).select("code", "observations", "avg_amount", "avg_volume", F.col("last.close").alias("latest_close"), "first_day", F.col("last.day").alias("last_day"))
-    return sums.join(scans.quantiles(met, ["code"], "amount", {"median_amount": 0.5}, weight="n"), "code", "left")
+    days = stored(days.select("code", "day", "amount", "volume", "close"))
+    hot = F.broadcast(kept(days.groupBy("code").agg(F.count("*").alias("n")).where(F.col("n") > together).select("code")))  # few, since each has many rows
+    amount = F.col("amount").cast("double")
+    exact = amount.try_cast("decimal(28,8)")
+    odd = (amount.isNotNull() & (exact.isNull() | (exact.cast("double") != amount))).cast("long")
+    given = {"exact": exact, "rough": amount, "odd": odd, "amounts": amount.isNotNull().cast("long"), "volumes": F.col("volume").isNotNull().cast("long"), "observations": F.lit(1).cast("long"), "first_day": F.col("day"), "last": F.struct("day", "close")}
+    own = Window.partitionBy("code")
+    place = F.row_number().over(own.orderBy(F.col("amount").asc_nulls_last()))
+    few = days.join(hot, "code", "left_anti").withColumns({"_n": F.count("amount").over(own), "_at": place}).withColumns(given)
+    middle = [F.max(F.when(F.col("_at") == F.expr(side), F.col("amount").cast("double"))).alias(n) for n, side in (("_a", "(_n + 1) div 2"), ("_b", "_n div 2 + 1"))]
+    median = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col("_a") + 0.5 * (F.col("_b") - F.col("_a")))
+    found = _liquid(few.groupBy("code").agg(*_sums(), *middle).withColumn("median_amount", F.when(F.col("amounts") > 0, median)), "median_amount")
+    met = stored(days.join(hot, "code", "left_semi").withColumns(given).groupBy("code", "amount").agg(*_sums()))
+    middles = scans.quantiles(met, ["code"], "amount", {"median_amount": 0.5}, weight="observations")
+    return found.unionByName(_liquid(met.groupBy("code").agg(*_sums())).join(middles, "code", "left"))
 
 
 def inventory(products: DataFrame, liquid: DataFrame, shares: DataFrame, as_of: str, excluded: tuple[str, ...], review: tuple[str, ...], allowed: tuple[str, ...] = (), aliases: dict[str, str] | None = None) -> DataFrame:
