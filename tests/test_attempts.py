@@ -1,5 +1,6 @@
 """Attempts: what formulas are, their values in blocks, status and reports, and display texts."""
 
+import hashlib
 import math
 import statistics
 
@@ -178,3 +179,30 @@ def test_splits_by_date(spark):
     assert next(r["hi"] for r in inside if r["split"] == "a") <= last
     with pytest.raises(ValueError, match="no days"):
         scoring.in_split(panel, "2050-01-01", None)
+
+
+def test_spans_of_days_score_as_single_days(spark):
+    """Days scored together, from signals as bytes, are what they are one by one from arrays; rows grow with spans only."""
+    panel = star.brand_panel(spark, "/root/testdata/sf0.01").where("asset_idx < 12").cache()
+    trees = {n: language.canonical(language.parse(t.split())) for n, t in FORMULAS.items()}
+    rows = spark.createDataFrame([(n, language.program(t)) for n, t in trees.items()], "canonical_hash string, program array<string>")
+    blocks, n = evaluation.in_blocks(rows, 3)
+    history = evaluation.histories(panel, scoring.forward_targets(panel, 60, None, 10)).cache()
+    found = evaluation.signals(history, blocks, n)
+    names = {r["block"]: [f["canonical_hash"] for f in r["formulas"]] for r in blocks.collect()}
+    days = {}
+    for r in found.collect():
+        for name, x in zip(names[r["block"]], r["signals"]):
+            days.setdefault(name, {}).setdefault(r["t"], []).append((x, r["asset_idx"], r["fwd_ret"], r["top_k"], r["baseline_ret"]))
+    single = {r["canonical_hash"]: r for r in evaluation.scores(found, blocks).collect()}
+    spans = {r["canonical_hash"]: r for r in evaluation.scores(evaluation.signals(history, blocks, n, packed=True), blocks, span=40).collect()}
+    assert {*single} == {*spans} == {*FORMULAS}
+    for name, r in spans.items():
+        assert r["selection_hash"] == single[name]["selection_hash"] and r["scorable"] == single[name]["scorable"] and r["quality_reason"] == single[name]["quality_reason"]
+        excess, picks = [], []
+        for t, cells in sorted(days[name].items()):
+            best = sorted((c for c in cells if not math.isnan(c[0])), key=lambda c: (-np.float32(c[0]), c[1]))[: cells[0][3]]
+            picks.append(f"{t}:" + ";".join(str(c[1]) for c in best))
+            excess += [sum(c[2] for c in best) / len(best) - cells[0][4]] if best else []
+        assert r["selection_hash"] == hashlib.sha256("|".join(picks).encode()).hexdigest()
+        assert r["reward"] == (pytest.approx(sum(excess) / len(excess), rel=1e-9, abs=1e-12) if excess else None) and r["coverage"] == pytest.approx(single[name]["coverage"])
