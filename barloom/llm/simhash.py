@@ -40,6 +40,12 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     n, digest = max(1, len(parts) - words + 1), xxhash.xxh64_intdigest
     stops = (ends - 1).tolist()[min(words, len(parts)) - 1 :]
     hashes = np.fromiter((digest(joined[i:j], seed) for i, j in zip(starts, stops)), np.uint64, n)
+    return of_hashes(hashes)
+
+
+def of_hashes(hashes: np.ndarray) -> int:
+    """The signed 64-bit SimHash of unsigned 64-bit hashes: a bit is 1 if it is set in over half of them; 0 for none."""
+    n = len(hashes)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 65536):
         block = hashes[at : at + 65536].astype("<u8").view(np.uint8)
