@@ -57,3 +57,19 @@ def test_weights_of_the_older_generator():
     second = found[target >= 6, 1]
     share = (second < inputs).mean()
     assert abs(share - 0.35 * inputs / (0.35 * inputs + 0.40 * unary)) < 0.01 and (second < inputs + unary).all()
+
+
+def test_attempts_beyond_those_that_the_sql_lists(spark, tmp_path):
+    """The SQL lists the first 100 attempts; the queries return one for each supplier, as the second implementation has it."""
+    from barloom import attempt_queries, attempt_sql
+    from barloom.plans import older
+
+    n = 3 * attempt_sql.KNOWN
+    spark.range(n).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    shown = [attempt_sql.shown(attempt_sql.tokens_of(attempt_queries.SEED, i)) for i in range(n)]
+    found = {r["attempt_index"]: (r["infix"], r["simplified_infix"], r["rules"]) for r in attempt_queries.attempt_texts(spark, str(tmp_path)).collect()}
+    assert found == {i: (a, b, ";".join(rules)) for i, (a, b, rules) in enumerate(shown)}
+    uses = {r["rule"]: (r["uses"], r["formulas"]) for r in attempt_queries.attempt_rules(spark, str(tmp_path)).collect()}
+    assert uses == {x: (sum(s[2].count(x) for s in shown), sum(x in s[2] for s in shown)) for x in {x for s in shown for x in s[2]}}
+    tokens = {r["attempt_index"]: r["tokens"] for r in attempt_queries.older_attempts(spark, str(tmp_path)).collect()}
+    assert tokens == {i: " ".join(attempt_sql.older_walked(attempt_queries.SEED, i, older.INPUTS, older.UNARY, older.BINARY, (3, 12), 4)) for i in range(n)}
