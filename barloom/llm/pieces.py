@@ -8,8 +8,10 @@ segmentation is the likeliest under that law, not the one that the merges lead t
 pieces, 10 below the lowest score of a single character.
 
 Where no piece has two neighbouring characters in a row, every path passes between them, so the lattice falls into spans
-there, mostly words. Spans recur, and their best segmentation and the loss to the second best are remembered. The N best
-of a text can only deviate from the best in the N - 1 spans with the smallest losses; only those are searched.
+there, mostly words. Spans recur, and their best segmentation and the loss to the second best are remembered; those that
+are new in a group of texts go through the forward pass together, a numpy operation for all their edges from one position
+to another. The N best of a text can only deviate from the best in the N - 1 spans with the smallest losses; only those
+are searched.
 """
 
 from __future__ import annotations
@@ -17,7 +19,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import math
+import random
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 from operator import itemgetter
 
 import numpy as np
@@ -31,7 +36,18 @@ SPACE = "▁"
 #: Scores are multiples of 1 / GRID.
 GRID = 1 << 20
 #: Spans of one generation that a worker keeps, of at most CACHED_LENGTH characters each, and those whose N best it keeps.
-CACHED, CACHED_LENGTH, SEVERAL = 150_000, 32, 20_000
+CACHED, CACHED_LENGTH, SEVERAL = 400_000, 32, 20_000
+#: Characters of the texts whose new spans are segmented together, and how many spans a forward pass takes at once.
+TOGETHER, BLOCK = 1 << 20, 8_192
+
+
+def opened(records: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 32-bit words of records of spans, the places of each one's four words in front of the ids, and what these are:
+    score and loss to the second best. (Bytes, unlike tuples, cost the garbage collector nothing.)"""
+    words = np.frombuffer(b"".join(records), np.uint32)
+    sizes = np.fromiter(map(len, records), np.int64, len(records)) >> 2
+    heads = (sizes.cumsum() - sizes)[:, None] + np.arange(4)
+    return words, heads, words[heads].view(np.float64)
 
 
 def zipf(rank: float, n: int) -> float:
@@ -82,13 +98,46 @@ class PieceModel:
         self.unknown = min(single or [s for s, _ in normal.values()] or [0.0]) - 10.0
         self.byte_ids = byte_ids
         self.pairs = {piece[k : k + 2] for piece in normal for k in range(len(piece) - 1)}
+        self.flatten(normal)
         self.cut_at_space = not any(p[0] != SPACE and p[1] == SPACE for p in self.pairs)
         self.text = {i: p.replace(SPACE, " ").encode() for p, (_, i) in normal.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
         #: Spans seen lately and, once those are `cached`, the ones before them; what is met again moves up.
-        self.spans: dict[str, tuple[float, float, bytes]] = {}
-        self.older: dict[str, tuple[float, float, bytes]] = {}
+        self.spans: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.several: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
+    def flatten(self, normal: dict[str, tuple[float, int]]) -> None:
+        """The tree and the pairs in arrays: characters and nodes are numbered, and what follows node k by character c is in
+        slot base[k] + c, if that is owned by k."""
+        chars = sorted({c for piece in normal for c in piece})
+        number = {c: k for k, c in enumerate(chars, 1)}  # 0 fills up rows, the last is for characters in no piece
+        self.width = len(chars) + 2
+        self.numbers = np.full(ord(max(chars, default="\0")) + 2, self.width - 1, np.int32)
+        self.numbers[[*map(ord, chars)]] = np.arange(1, self.width - 1)
+        #: Characters that are a piece by themselves.
+        self.alone = np.array([True, *[c in normal for c in chars], False])
+        nodes, below = [[self.tree, None, b""]], []
+        for level, _, _ in nodes:  # which grows
+            below.append((np.array([number[c] for c in level], np.int64), len(nodes)))
+            nodes.extend(level.values())
+        self.scores = np.array([-np.inf if score is None else score for _, score, _ in nodes])
+        self.ids = np.array([int.from_bytes(ids, "little") for _, _, ids in nodes], np.uint32)
+        slots, rng = 1 << (4 * len(nodes)).bit_length(), random.Random(0)
+        self.base = np.zeros(len(nodes), np.int32)
+        self.owner, self.target = np.full(slots + self.width, -1, np.int32), np.zeros(slots + self.width, np.int32)
+        for k in sorted((k for k, (c, _) in enumerate(below) if c.size), key=lambda k: -below[k][0].size):
+            c, first = below[k]
+            while (self.owner[c + (at := rng.randrange(slots))] >= 0).any():
+                pass
+            self.base[k], self.owner[c + at], self.target[c + at] = at, k, np.arange(first, first + c.size)
+        keys = np.array([number[a] * self.width + number[b] for a, b in self.pairs], np.int64)
+        self.paired = np.zeros(self.width**2 // 8 + 1, np.uint8)
+        np.bitwise_or.at(self.paired, keys >> 3, (1 << (keys & 7)).astype(np.uint8))
+
+    def numbered(self, text: str) -> np.ndarray:
+        """The numbers of a text's characters."""
+        return self.numbers[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(self.numbers) - 1)]
+
     def edges(self, span: str) -> tuple[list[tuple[int, int, float, bytes]], list[float]]:
         """The pieces of a span as (start, end, score, ids) in order of start, and the best score up to each position
         (forward Viterbi)."""
@@ -173,28 +222,95 @@ class PieceModel:
         ids.reverse()
         return best[n], best[n] - second[n], b"".join(ids)
 
-    def span(self, span: str) -> tuple[float, float, bytes]:
-        """(score, loss to the second best, ids) of the best segmentation of a span that may hold further cuts."""
-        found = self.spans.get(span)
-        if found is not None:
-            return found
-        found = self.older.get(span)
-        if found is None:
-            # Mostly a single sign ends a word; then the word itself may be known.
-            if span[-1] in ".," and len(span) > 1 and span[-2:] not in self.pairs:
-                (s, loss, ids), (t, other, more) = self.span(span[:-1]), self.span(span[-1])
-                return s + t, loss if loss < other else other, ids + more
-            parts = self.cut(span)
-            if len(parts) > 1:
-                each = [self.span(p) for p in parts]
-                found = sum(e[0] for e in each), min(e[1] for e in each), b"".join(e[2] for e in each)
-            else:
-                found = self.viterbi(span)
-        if len(span) <= CACHED_LENGTH:
-            if len(self.spans) >= self.cached:
-                self.spans, self.older = {}, self.spans
-            self.spans[span] = found
-        return found
+    def viterbis(self, spans: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each span and its record: what `viterbi` says of it. The longest come first."""
+
+        def record(span: str) -> bytes:
+            score, loss, ids = self.viterbi(span)
+            return np.array([score, loss]).tobytes() + ids
+
+        # Long ones, and those with byte pieces, go one by one.
+        long = sum(len(span) > CACHED_LENGTH for span in spans)
+        yield from ((span, record(span)) for span in spans[:long])
+        spans = spans[long:]
+        lengths = np.fromiter(map(len, spans), np.int64, len(spans))
+        chars = np.zeros((len(spans), lengths.max(initial=0)), np.int32)
+        chars[np.arange(chars.shape[1]) < lengths[:, None]] = self.numbered("".join(spans))
+        plain = self.alone[chars].all(axis=1)
+        yield from ((spans[k], record(spans[k])) for k in np.flatnonzero(~plain).tolist())
+        spans, lengths, chars = [spans[k] for k in np.flatnonzero(plain).tolist()], lengths[plain], chars[plain]
+        if not spans:
+            return
+        n, longest = len(spans), int(lengths[0])
+        chars, every = np.ascontiguousarray(chars.T), np.arange(n)
+        best, second = np.full((longest + 1, n), -np.inf), np.full((longest + 1, n), -np.inf)
+        since, last = np.zeros((longest + 1, n), np.int32), np.zeros((longest + 1, n), np.int32)
+        best[0] = 0.0
+        for i in range(longest):
+            rows = every[: np.count_nonzero(lengths > i)]
+            node = np.zeros(rows.size, np.int32)
+            for j in range(i, longest):
+                slot = self.base[node] + chars[j][rows]
+                goes = np.flatnonzero(self.owner[slot] == node)
+                if not goes.size:
+                    break
+                rows, node = rows[goes], self.target[slot[goes]]
+                score = self.scores[node]
+                ends = np.flatnonzero(score > -np.inf)
+                at, score = rows[ends], score[ends]
+                through, old = best[i][at] + score, best[j + 1][at]
+                second[j + 1][at] = np.maximum(np.maximum(second[j + 1][at], np.minimum(old, through)), second[i][at] + score)
+                better = np.flatnonzero(through > old)
+                at = at[better]
+                best[j + 1][at], since[j + 1][at], last[j + 1][at] = through[better], i, node[ends[better]]
+        steps, at, rows = [], lengths, every
+        while rows.size:
+            steps.append((rows, self.ids[last[at, rows]]))
+            at = since[at, rows]
+            more = np.flatnonzero(at)
+            rows, at = rows[more], at[more]
+        words, used = np.zeros((n, 4 + len(steps)), np.uint32), np.zeros((n, 4 + len(steps)), bool)
+        score = best[lengths, every]
+        words[:, :4], used[:, :4] = np.stack([score, score - second[lengths, every]], 1).view(np.uint32), True
+        for k, (rows, ids) in enumerate(reversed(steps), 4):
+            words[rows, k], used[rows, k] = ids, True
+        flat, ends = words[used].tobytes(), [0, *(4 * used.sum(axis=1).cumsum()).tolist()]
+        yield from zip(spans, [flat[a:b] for a, b in pairwise(ends)])
+
+    def learn(self, spans: set[str]) -> list[str]:
+        """Puts the records of spans, which may hold further cuts, into `spans`; the ones that are too long to be kept there."""
+        new = spans.difference(self.spans)
+        if len(self.spans) + len(new) > self.cached:
+            self.spans, self.older, new = {}, self.spans, spans
+        known, older = self.spans, self.older
+        known.update({s: older[s] for s in new if s in older})
+        new = [s for s in new if s not in known]
+        if not new:
+            return []
+        # Cut where `cut` does, all in one string.
+        text, lengths = "".join(new), np.fromiter(map(len, new), np.int64, len(new))
+        chars, starts = self.numbered(text).astype(np.int64), lengths.cumsum() - lengths
+        keys = chars[:-1] * self.width + chars[1:]
+        cuts = np.ones(len(text) + 1, bool)
+        cuts[1:-1] = (self.paired[keys >> 3] >> (keys & 7).astype(np.uint8) & 1) == 0
+        cuts[starts] = True
+        bounds = np.flatnonzero(cuts)
+        parts, first = [text[a:b] for a, b in pairwise(bounds.tolist())], np.searchsorted(bounds, starts)
+        fresh = {*parts}.difference(known)
+        known.update({p: older[p] for p in fresh if p in older})
+        fresh = sorted(fresh.difference(known), key=len, reverse=True)
+        for k in range(0, len(fresh), BLOCK):
+            known.update(self.viterbis(fresh[k : k + BLOCK]))
+        # A span has the sum of its parts' scores, their smallest loss, and their ids.
+        words, heads, each = opened([*map(known.__getitem__, parts)])
+        whole = np.stack([np.add.reduceat(each[:, 0], first), np.minimum.reduceat(each[:, 1], first)], 1)
+        words, keep = words.copy(), np.ones(len(words), bool)
+        keep[heads] = False
+        keep[heads[first]], words[heads[first]] = True, whole.view(np.uint32)
+        ends = np.add.reduceat(keep, heads[first, 0], dtype=np.int64).cumsum() * 4
+        flat = words[keep].tobytes()
+        known.update(zip(new, [flat[a:b] for a, b in pairwise([0, *ends.tolist()])]))
+        return [s for s in {*new, *fresh} if len(s) > CACHED_LENGTH]
 
     def cut(self, span: str) -> list[str]:
         """The span in parts between which no piece reaches."""
@@ -211,7 +327,10 @@ class PieceModel:
             return []
         if not self.cut_at_space or SPACE in text:
             return [(SPACE if self.prefix else "") + text.replace(" ", SPACE)]
-        spans, lead = [], SPACE if self.prefix else ""
+        lead = SPACE if self.prefix else ""
+        if "  " not in text and text[0] != " " != text[-1]:
+            return (lead + text.replace(" ", " " + SPACE)).split(" ")
+        spans = []
         for part in text.split(" "):
             if part:
                 spans.append(lead + part)
@@ -222,26 +341,50 @@ class PieceModel:
 
     def encode(self, text: str | None, n: int = 1) -> list[tuple[float, bytes]]:
         """The n best segmentations of a whole text: (score, ids as little-endian uint32), best first."""
-        spans = self.spans_of(text or "")
-        known, span = self.spans, self.span
-        each = [known.get(s) or span(s) for s in spans]
-        score = sum(map(itemgetter(0), each))
-        ids = [*map(itemgetter(2), each)]
-        out = [(score, b"".join(ids))]
-        if n > 1 and each:
-            # The smallest losses of single parts; spans with several parts are searched part by part.
-            near = heapq.nsmallest(n - 1, range(len(each)), key=[*map(itemgetter(1), each)].__getitem__)
-            combined: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
-            for k in sorted(k for k in near if each[k][1] < np.inf):
-                ways = self._ways(spans[k], n)
-                more = [(loss + ways[0][0] - s, (*chosen, (k, way))) for loss, chosen in combined for s, way in ways]
-                combined = heapq.nsmallest(n, more, key=itemgetter(0))
-            out = []
-            for loss, chosen in combined:
-                now = ids.copy()
-                for k, way in chosen:
-                    now[k] = way
-                out.append((score - loss, b"".join(now)))
+        return next(self.encode_all([text], n))
+
+    def encode_all(self, texts: Iterable[str | None], n: int = 1) -> Iterator[list[tuple[float, bytes]]]:
+        """`encode` of each text. The spans of several texts are segmented together."""
+        group, size = [], 0
+        for text in texts:
+            group.append(self.spans_of(text or ""))
+            size += len(text or "")
+            if size >= TOGETHER:
+                yield from self._encoded(group, n)
+                group, size = [], 0
+        yield from self._encoded(group, n)
+
+    def _encoded(self, group: list[list[str]], n: int) -> Iterator[list[tuple[float, bytes]]]:
+        long = self.learn(set().union(*group))
+        each = [[*map(self.spans.__getitem__, spans)] for spans in group]
+        for span in long:
+            del self.spans[span]
+        for spans, records in zip(group, each):
+            yield self._best(spans, records, n) if spans else [(0.0, b"")]
+
+    def _best(self, spans: list[str], records: list[bytes], n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of a text from its spans and their records."""
+        words, heads, each = opened(records)
+        keep = np.ones(len(words), bool)
+        keep[heads] = False
+        score, ids = float(each[:, 0].sum()), words[keep].tobytes()
+        if n < 2:
+            return [(score, ids)]
+        # The smallest losses of single parts; spans with several parts are searched part by part.
+        near = each[:, 1].argsort(kind="stable")[: n - 1]
+        combined: list[tuple[float, tuple[tuple[int, bytes], ...]]] = [(0.0, ())]
+        for k in sorted(near[each[near, 1] < np.inf].tolist()):
+            ways = self._ways(spans[k], n)
+            more = [(loss + ways[0][0] - s, (*chosen, (k, way))) for loss, chosen in combined for s, way in ways]
+            combined = heapq.nsmallest(n, more, key=itemgetter(0))
+        out = []
+        for loss, chosen in combined:
+            now, at = [], 0
+            for k, way in chosen:
+                start = 4 * (int(heads[k, 0]) - 4 * k)
+                now += ids[at:start], way
+                at = start + len(records[k]) - 16
+            out.append((score - loss, b"".join([*now, ids[at:]])))
         return out
 
     def _ways(self, span: str, n: int) -> list[tuple[float, bytes]]:
@@ -284,7 +427,7 @@ def encoded(docs: DataFrame, model: str, n: int = 1, text_col: str = "text") ->
 
     def run(texts: list) -> list:
         m = built(PieceModel, held.value)
-        return [[{"score": s, "ids": np.frombuffer(ids, "<i4")} for s, ids in m.encode(t, n)] for t in texts]
+        return [[{"score": s, "ids": np.frombuffer(ids, "<i4")} for s, ids in ways] for ways in m.encode_all(texts, n)]
 
     return mapped(run, ENCODED, "array<struct<score: double, ids: array<int>>>")(F.col(text_col))
 
@@ -296,8 +439,7 @@ def best(docs: DataFrame, model: str, text_col: str = "text") -> Column:
 
     def run(texts: list) -> list:
         m, out = built(SparePieceModel, held.value), []
-        for text in texts:
-            score, ids = m.encode(text)[0]
+        for text, ((score, ids),) in zip(texts, m.encode_all(texts)):
             out.append({"ids": np.frombuffer(ids, "<i4"), "score": score, "round_trip": m.decode(ids) == (text or "")})
         return out
 
@@ -332,8 +474,7 @@ def encodings(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id", t
 
     def run(texts: list) -> list:
         m, out = built(PieceModel, held.value), []
-        for text in texts:
-            ways = m.encode(text, n)
+        for text, ways in zip(texts, m.encode_all(texts, n)):
             score, ids = ways[0]
             back = m.decode(ids)
             sums = [zlib.crc32(way) for _, way in ways]

@@ -159,6 +159,44 @@ def test_pieces_round_trip(spark):
         assert found[i]["nbest_scores"] == sorted(found[i]["nbest_scores"], reverse=True)
 
 
+def test_new_spans_are_segmented_together():
+    rng = random.Random(7)
+    model = pieces.PieceModel(support.file_bytes("piece_bpe_32k.model"))
+    words = ["".join(rng.choices(["th", "er", "on", "é", "ß", "ing", ",", ".\n", "3"], k=rng.randint(1, 9))) for _ in range(3000)]
+    texts = [None, "", " ", *ODD, *(" ".join(rng.choices(words, k=60)) for _ in range(100)), "  two  spaces ", "a" * 70 + " " + "\u0e80é" * 40]
+    seen = []
+
+    def counted(span):
+        seen.append(span)
+        return pieces.PieceModel.viterbi(model, span)
+
+    model.viterbi = counted
+    got = [*model.encode_all(texts, 4)]
+    # One by one are only long spans and those with a character that is no piece.
+    assert all(len(s) > pieces.CACHED_LENGTH or not all(c in model.tree and model.tree[c][1] is not None for c in s) for s in seen)
+    found = dict(model.viterbis(sorted({part for w in words for part in model.cut("▁" + w)}, key=len, reverse=True)))
+    for span, record in found.items():
+        score, loss, ids = pieces.PieceModel.viterbi(model, span)
+        assert record == np.array([score, loss]).tobytes() + ids
+    small = pieces.PieceModel(support.file_bytes("piece_bpe_32k.model"))
+    small.cached = 50  # what is remembered changes nothing
+    assert [small.encode(t, 4) for t in texts] == got
+    assert not any(len(s) > pieces.CACHED_LENGTH for s in {**model.spans, **small.older})
+
+
+def test_grouped_spans_equal_all_of_a_text():
+    rng = random.Random(8)
+    signs = ["a", "b", "ab", "ba", "aab", "▁", "▁a", "bb", "▁ab", "xy"]  # x and y are no pieces by themselves
+    for prefix in (True, False):
+        model = pieces.PieceModel.of({p: rng.uniform(-5, -1) for p in signs}, prefix)
+        texts = ["".join(rng.choices("aabb xyz", k=rng.randint(0, 12))) for _ in range(300)]
+        for text, got in zip(texts, model.encode_all(texts, 5)):
+            lattice = model.nbest((("▁" if prefix else "") + text.replace(" ", "▁")) if text else "", 5)
+            assert [s for s, _ in got] == [s for s, _ in lattice]
+            assert model.decode(got[0][1]) == text
+    assert pieces.PieceModel.of({}).encode("a b", 2)[0][0] < 0
+
+
 def test_scores_of_merges_are_probabilities():
     n = 20_000
     assert sum(np.exp(pieces.zipf(k, n)) for k in range(1, n + 1)) == pytest.approx(1, abs=1e-6)
