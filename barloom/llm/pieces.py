@@ -73,7 +73,7 @@ class PieceModel:
         normal = {p.piece: (zipf(-p.score, len(known)) if merges else p.score, i) for i, p in known}
         self.setup(normal, {int(p.piece[3:5], 16): i for i, p in enumerate(spec.pieces) if p.type == p.BYTE})
 
-    cached = CACHED
+    cached, together = CACHED, TOGETHER
 
     @classmethod
     def of(cls, pieces: dict[str, float], prefix: bool = True) -> PieceModel:
@@ -349,7 +349,7 @@ class PieceModel:
         for text in texts:
             group.append(self.spans_of(text or ""))
             size += len(text or "")
-            if size >= TOGETHER:
+            if size >= self.together:
                 yield from self._encoded(group, n)
                 group, size = [], 0
         yield from self._encoded(group, n)
@@ -409,9 +409,9 @@ class PieceModel:
 
 
 class SparePieceModel(PieceModel):
-    """A model for tasks whose workers have other stages behind them: some 40 MB less, a fifth more time."""
+    """A model for tasks whose workers have other stages behind them: less memory, more time."""
 
-    cached = 60_000
+    cached, together = 30_000, 1 << 17
 
 
 ENCODED = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
