@@ -432,19 +432,52 @@ def encoded(docs: DataFrame, model: str, n: int = 1, text_col: str = "text") ->
     return mapped(run, ENCODED, "array<struct<score: double, ids: array<int>>>")(F.col(text_col))
 
 
-def best(docs: DataFrame, model: str, text_col: str = "text") -> Column:
-    """A struct column of whole texts: ids and score of the best segmentation, and whether it decodes to the text (null: the
-    empty text). Both ways are one pass, so that a task needs one worker and one model."""
+def change(best: np.ndarray, other: np.ndarray) -> tuple[int, int, np.ndarray]:
+    """(start, dropped, ids): `other` is `best` with `dropped` ids from `start` on replaced by ids."""
+    n = min(len(best), len(other))
+    apart = np.flatnonzero(best[:n] != other[:n])
+    start = int(apart[0]) if apart.size else n
+    left = n - start
+    apart = np.flatnonzero(best[len(best) - left :] != other[len(other) - left :])
+    tail = left - 1 - int(apart[-1]) if apart.size else left
+    return start, len(best) - tail - start, other[start : len(other) - tail]
+
+
+OTHERS = pa.list_(pa.struct([("score", pa.float64()), ("start", pa.int32()), ("dropped", pa.int32()), ("ids", pa.list_(pa.int32()))]))
+BEST_DDL = "struct<ids: array<int>, score: double, round_trip: boolean, others: array<struct<score: double, start: int, dropped: int, ids: array<int>>>>"
+
+
+def best(docs: DataFrame, model: str, n: int = 1, text_col: str = "text") -> Column:
+    """A struct column of whole texts: ids and score of the best segmentation, whether it decodes to the text (null: the
+    empty text), and the others of the n best, in order. Both ways are one pass, so that a task needs one worker and one
+    model.
+
+    Another segmentation is the best with `dropped` ids from `start` on replaced by its ids: most of a text is the same in
+    all of them. See `ways`.
+    """
     held = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
 
     def run(texts: list) -> list:
         m, out = built(SparePieceModel, held.value), []
-        for text, ((score, ids),) in zip(texts, m.encode_all(texts)):
-            out.append({"ids": np.frombuffer(ids, "<i4"), "score": score, "round_trip": m.decode(ids) == (text or "")})
+        for text, ((score, ids), *others) in zip(texts, m.encode_all(texts, n)):
+            first, more = np.frombuffer(ids, "<i4"), []
+            for s, way in others:
+                start, dropped, new = change(first, np.frombuffer(way, "<i4"))
+                more.append({"score": s, "start": start, "dropped": dropped, "ids": new.copy()})
+            out.append({"ids": first, "score": score, "round_trip": m.decode(ids) == (text or ""), "others": more})
         return out
 
-    kind = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("round_trip", pa.bool_())])
-    return mapped(run, kind, "struct<ids: array<int>, score: double, round_trip: boolean>")(F.col(text_col))
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("score", pa.float64()), ("round_trip", pa.bool_()), ("others", OTHERS)])
+    return mapped(run, kind, BEST_DDL)(F.col(text_col))
+
+
+def ways(ids: Column, score: Column, others: Column) -> Column:
+    """All n best segmentations, struct(score, ids) in order, from the best and the others as `best` gives them."""
+    def whole(x: Column) -> Column:
+        behind = x["start"] + x["dropped"]
+        return F.struct(x["score"].alias("score"), F.concat(F.slice(ids, 1, x["start"]), x["ids"], F.slice(ids, behind + 1, F.size(ids) - behind)).alias("ids"))
+
+    return F.concat(F.array(F.struct(score.alias("score"), ids.alias("ids"))), F.transform(others, whole))
 
 
 def decoded(docs: DataFrame, model: str, ids_col: str = "ids") -> Column:
